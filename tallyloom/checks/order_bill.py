@@ -9,108 +9,85 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.sources.bill import Period, check_month
 
-BILL_COLUMNS = (
-    "billing_period",
-    "line_item_usage_start_date",
-    "line_item_resource_id",
-    "line_item_line_item_type",
-    "line_item_product_code",
-    "line_item_usage_type",
-    "line_item_operation",
-    "product_region_code",
-    "line_item_iam_principal",
-    "line_item_usage_amount",
-    "line_item_unblended_cost",
-    "savings_plan_savings_plan_effective_cost",
-    "reservation_effective_cost",
-    "resource_tags",
+# The columns of the order tables which the bill is made of. Declared, so that
+# reading a table does not start a job to find its schema.
+_TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, "
+    "l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+}
+
+
+def _effective_cost(line: int) -> str:
+    return f"""CASE WHEN l_linenumber = {line}
+        THEN CAST(CAST(l_extendedprice AS DECIMAL(15,2))
+                  * (CAST(1 AS DECIMAL(15,2)) - CAST(l_discount AS DECIMAL(15,2)))
+             AS DOUBLE)
+        ELSE 0D END"""
+
+
+def _tag(key: str, present: str, value: str) -> str:
+    """One-entry array, or an empty one: only so far as the tag is present."""
+    entry = f"array(named_struct('key', '{key}', 'value', {value}))"
+    return f"IF({present}, {entry}, CAST(array() AS ARRAY<STRUCT<key STRING, value STRING>>))"
+
+
+_TAGS = ", ".join(
+    [
+        _tag(
+            "user_project",
+            "l_suppkey % 4 <> 0",
+            "IF(l_suppkey % 4 = 1, '', 'project/' || (l_partkey % 3))",
+        ),
+        _tag("user_owner", "l_suppkey % 3 <> 0", "'owner/' || (l_partkey % 4)"),
+        _tag("user_name", "l_suppkey % 5 <> 1 AND p_type IS NOT NULL", "p_type"),
+        _tag(
+            "user_parallelcluster_cluster_name",
+            "l_suppkey % 7 = 1",
+            "'cluster/' || (l_partkey % 2)",
+        ),
+    ]
 )
+
+_EXPRESSIONS = {
+    "billing_period": "date_format(l_shipdate, 'yyyy-MM')",
+    "line_item_usage_start_date": "l_shipdate"
+    " + make_dt_interval(0, CAST(l_orderkey % 24 AS INT), 0, 0)",
+    "line_item_resource_id": "CASE WHEN l_partkey % 10 <= 2 THEN ''"
+    " WHEN l_partkey % 10 > 3 THEN 'res/' || (l_partkey % 40) END",
+    "line_item_line_item_type": "CASE l_linenumber WHEN 1 THEN 'Usage'"
+    " WHEN 2 THEN 'DiscountedUsage' WHEN 3 THEN 'SavingsPlanCoveredUsage'"
+    " WHEN 4 THEN 'SavingsPlanRecurringFee' WHEN 5 THEN 'SavingsPlanNegation'"
+    " WHEN 6 THEN 'Tax' ELSE 'Credit' END",
+    "line_item_product_code": "p_type",
+    "line_item_usage_type": "p_brand",
+    "line_item_operation": "l_returnflag",
+    "product_region_code": "CASE WHEN n_regionkey = 0 THEN ''"
+    " WHEN n_regionkey <> 1 THEN 'region-' || n_regionkey END",
+    "line_item_iam_principal": "CASE WHEN o_orderstatus = 'P' THEN ''"
+    " WHEN o_orderstatus <> 'F' THEN 'user/' || (o_custkey % 5) END",
+    "line_item_usage_amount": "l_quantity",
+    "line_item_unblended_cost": "IF(l_linenumber IN (5, 7), -l_extendedprice,"
+    " l_extendedprice)",
+    "savings_plan_savings_plan_effective_cost": _effective_cost(3),
+    "reservation_effective_cost": _effective_cost(2),
+    "resource_tags": f"IF(l_suppkey % 10 <> 0, map_from_entries(concat({_TAGS})), NULL)",
+}
+BILL_COLUMNS = tuple(_EXPRESSIONS)
 _OF_ORDERS = {"line_item_iam_principal"}
 _OF_PART = {"line_item_product_code", "line_item_usage_type", "resource_tags"}
 _OF_SUPPLIER = {"product_region_code"}
 
 
-def _numbered(prefix: str, key: str, modulus: int) -> Column:
-    return F.concat(F.lit(prefix), (F.col(key) % modulus).cast("string"))
-
-
-def _charge_type() -> Column:
-    line = F.col("l_linenumber")
-    return (
-        F.when(line == 1, "Usage")
-        .when(line == 2, "DiscountedUsage")
-        .when(line == 3, "SavingsPlanCoveredUsage")
-        .when(line == 4, "SavingsPlanRecurringFee")
-        .when(line == 5, "SavingsPlanNegation")
-        .when(line == 6, "Tax")
-        .otherwise("Credit")
-    )
-
-
-def _effective_cost(line: int) -> Column:
-    price = F.col("l_extendedprice").cast("decimal(15,2)")
-    discount = F.col("l_discount").cast("decimal(15,2)")
-    effective = (price * (F.lit(1).cast("decimal(15,2)") - discount)).cast("double")
-    return F.when(F.col("l_linenumber") == line, effective).otherwise(0.0)
-
-
-def _tags() -> Column:
-    supplier = F.col("l_suppkey")
-    values = {
-        "user_project": F.when(supplier % 4 == 1, "").when(
-            supplier % 4 > 1, _numbered("project/", "l_partkey", 3)
-        ),
-        "user_owner": F.when(supplier % 3 != 0, _numbered("owner/", "l_partkey", 4)),
-        "user_name": F.when(supplier % 5 != 1, F.col("p_type")),
-        "user_parallelcluster_cluster_name": F.when(
-            supplier % 7 == 1, _numbered("cluster/", "l_partkey", 2)
-        ),
-    }
-    entries = F.array(
-        *(
-            F.struct(F.lit(key).alias("key"), value.alias("value"))
-            for key, value in values.items()
-        )
-    )
-    present = F.filter(entries, lambda entry: entry["value"].isNotNull())
-    return F.when(supplier % 10 != 0, F.map_from_entries(present))
-
-
-def _bill_expressions() -> dict[str, Column]:
-    part, region = F.col("l_partkey") % 10, F.col("n_regionkey")
-    status, price = F.col("o_orderstatus"), F.col("l_extendedprice")
-    return {
-        "billing_period": F.date_format("l_shipdate", "yyyy-MM"),
-        "line_item_usage_start_date": F.col("l_shipdate")
-        + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int")),
-        "line_item_resource_id": F.when(part <= 2, "").when(
-            part != 3, _numbered("res/", "l_partkey", 40)
-        ),
-        "line_item_line_item_type": _charge_type(),
-        "line_item_product_code": F.col("p_type"),
-        "line_item_usage_type": F.col("p_brand"),
-        "line_item_operation": F.col("l_returnflag"),
-        "product_region_code": F.when(region == 0, "").when(
-            region != 1, F.concat(F.lit("region-"), region.cast("string"))
-        ),
-        "line_item_iam_principal": F.when(status == "P", "").when(
-            status != "F", _numbered("user/", "o_custkey", 5)
-        ),
-        "line_item_usage_amount": F.col("l_quantity"),
-        "line_item_unblended_cost": F.when(
-            F.col("l_linenumber").isin(5, 7), -price
-        ).otherwise(price),
-        "savings_plan_savings_plan_effective_cost": _effective_cost(3),
-        "reservation_effective_cost": _effective_cost(2),
-        "resource_tags": _tags(),
-    }
-
-
 def _ship_dates(lines: DataFrame, period: Period) -> DataFrame:
     """Bound the ship date, which the Parquet scan can check by row group."""
     if period is None:
@@ -140,7 +117,7 @@ def order_bill(
     wanted = set(columns)
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     bill = _ship_dates(table("lineitem"), period)
     if wanted & _OF_PART:
@@ -156,5 +133,4 @@ def order_bill(
         bill = bill.join(
             table("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left"
         )
-    expressions = _bill_expressions()
-    return bill.select(*(expressions[name].alias(name) for name in columns))
+    return bill.selectExpr(*(f"{_EXPRESSIONS[name]} AS {name}" for name in columns))

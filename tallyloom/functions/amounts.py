@@ -12,16 +12,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_AMOUNT = "decimal(28,12)"
+TOTAL_AMOUNT = "decimal(38,12)"
 SHOWN_MONEY = "decimal(28,6)"
 
+_LIMB_BITS = 20
+_LIMB_MASK = 2**_LIMB_BITS - 1
+
+
+def _picos(amount: Column) -> Column:
+    """The amount as a whole number of 1e-12, or NULL if that might not be exact.
+
+    A double with at most 15 significant digits is the one nearest to that
+    decimal and to no other of 15 digits. So if dividing the rounded number of
+    units gives the double back, the number of units is what the double stands
+    for. Small amounts are tried in units of 1e-12, larger ones in 1e-6.
+    """
+    picos, micros = F.rint(amount * 1e12), F.rint(amount * 1e6)
+    return F.when(
+        F.abs(amount) < 1e3, F.when(picos / 1e12 == amount, picos.cast("long"))
+    ).when(
+        F.abs(amount) < 1e6,
+        F.when(micros / 1e6 == amount, micros.cast("long") * 1_000_000),
+    )
+
 
 def exact_sum(amount: Column) -> Column:
-    return F.sum(amount.cast(LINE_AMOUNT))
+    """Same total as ``sum(cast(amount as decimal(28,12)))``, at less than half the cost.
+
+    Turning a double into a decimal and adding decimals takes several times as
+    long as the rest of a grouping. Nearly all amounts are a whole number of
+    1e-12 below 2**60, and are added as longs, in three limbs of 20 bits, so that
+    no group with fewer than 2**43 lines can overflow. Only the other amounts
+    (over a million, or with more than 15 digits) are added as decimals.
+    """
+    picos = _picos(amount)
+    limbs = (
+        F.shiftright(picos, 2 * _LIMB_BITS),
+        F.shiftright(picos, _LIMB_BITS).bitwiseAND(_LIMB_MASK),
+        picos.bitwiseAND(_LIMB_MASK),
+    )
+    high, middle, low = (
+        F.sum(limb).cast("decimal(19,0)")
+        * F.lit(Decimal(2 ** (_LIMB_BITS * power)).scaleb(-12))
+        for limb, power in zip(limbs, (2, 1, 0))
+    )
+    whole = high + middle + low
+    rest = F.sum(F.when(picos.isNull(), amount.cast(LINE_AMOUNT))).cast("decimal(36,12)")
+    return F.coalesce(whole + rest, whole, rest).cast(TOTAL_AMOUNT)
 
 
 def as_usd(total: Column) -> Column:

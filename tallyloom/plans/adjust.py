@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.amounts import cost
-from tallyloom.operators.cost_report import Dims, cost_report, grouped_totals, shown
+from tallyloom.functions.amounts import as_usd, cost
+from tallyloom.operators.cost_report import Dims, cost_report, grouped_totals
 from tallyloom.sources.bill import Period
 from tallyloom.sources.bill_schema import PARTITION_COLUMN
 
@@ -30,24 +30,24 @@ def savings_plan_net(
     """Net cost of savings plans per month: fee, negation and covered usage.
 
     The fee has no resource, the covered usage has one, and the negation takes
-    back its list price; only the three together are what the plan cost.
+    back its list price; only the three together are what the plan cost. The
+    parts are taken from the sums per month and charge type.
     """
-    amount = F.col("line_item_unblended_cost")
     charge_type = F.col("line_item_line_item_type")
-    measures = {
-        name: cost(F.when(charge_type == part, amount).otherwise(0.0))
+    by_type = grouped_totals(
+        bill,
+        {PARTITION_COLUMN: F.col(PARTITION_COLUMN), "charge_type": charge_type},
+        {"cost": cost()},
+        period,
+        where=[charge_type.isin(*SAVINGS_PLAN_PARTS.values())],
+    )
+    parts = {
+        name: as_usd(F.sum(F.when(F.col("charge_type") == part, F.col("cost")).otherwise(0)))
         for name, part in SAVINGS_PLAN_PARTS.items()
     }
-    measures["net_usd"] = cost()
-    report = shown(
-        grouped_totals(
-            bill,
-            {PARTITION_COLUMN: F.col(PARTITION_COLUMN)},
-            measures,
-            period,
-            where=[charge_type.isin(*SAVINGS_PLAN_PARTS.values())],
-        ),
-        measures,
+    report = by_type.groupBy(PARTITION_COLUMN).agg(
+        *(total.alias(name) for name, total in parts.items()),
+        as_usd(F.sum("cost")).alias("net_usd"),
     )
     return report.orderBy(F.asc_nulls_last(PARTITION_COLUMN)) if sort else report
 

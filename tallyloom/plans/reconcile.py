@@ -84,14 +84,17 @@ def unattributed_share(bill: DataFrame, period: Period = None) -> DataFrame:
 
     Credits and negations count with their sign, on both sides of the share.
     """
-    amount = F.col("line_item_unblended_cost")
     blank = is_blank(F.col("line_item_resource_id"))
-    measures = {
-        "grand_total_usd": cost(),
-        "attributed_usd": cost(F.when(blank, 0.0).otherwise(amount)),
-        "unattributed_usd": cost(F.when(blank, amount).otherwise(0.0)),
-    }
-    totals = shown(grouped_totals(bill, {}, measures, period), measures)
+    halves = grouped_totals(bill, {"blank": blank}, {"cost": cost()}, period)
+    totals = halves.agg(
+        as_usd(F.sum("cost")).alias("grand_total_usd"),
+        as_usd(F.sum(F.when(F.col("blank"), 0).otherwise(F.col("cost")))).alias(
+            "attributed_usd"
+        ),
+        as_usd(F.sum(F.when(F.col("blank"), F.col("cost")).otherwise(0))).alias(
+            "unattributed_usd"
+        ),
+    )
     share = share_of(F.col("unattributed_usd"), F.col("grand_total_usd"))
     return totals.withColumn("unattributed_share", share)
 
