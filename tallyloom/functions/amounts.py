@@ -21,8 +21,8 @@ LINE_AMOUNT = "decimal(28,12)"
 TOTAL_AMOUNT = "decimal(38,12)"
 SHOWN_MONEY = "decimal(28,6)"
 
-_LIMB_BITS = 20
-_LIMB_MASK = 2**_LIMB_BITS - 1
+_PICO = Decimal("1e-12")
+_LIMB = 2**20
 
 
 def _picos(amount: Column) -> Column:
@@ -42,8 +42,20 @@ def _picos(amount: Column) -> Column:
     )
 
 
+def _limbs_as_decimal(high: Column, middle: Column, low: Column) -> Column:
+    """Totals of 20-bit limbs put together; by longs alone if they fit."""
+    middle = middle + F.shiftright(low, 20)
+    high = high + F.shiftright(middle, 20)
+    below = middle.bitwiseAND(_LIMB - 1) * _LIMB + low.bitwiseAND(_LIMB - 1)
+    fits = (high * _LIMB**2 + below).cast("decimal(18,0)") * F.lit(_PICO)
+    large = high.cast("decimal(19,0)") * F.lit(_LIMB**2 * _PICO) + below.cast(
+        "decimal(13,0)"
+    ) * F.lit(_PICO)
+    return F.when(F.abs(high) < 900_000, fits).otherwise(large)
+
+
 def exact_sum(amount: Column) -> Column:
-    """Same total as ``sum(cast(amount as decimal(28,12)))``, at less than half the cost.
+    """Same total as ``sum(cast(amount as decimal(28,12)))`` in a fraction of its time.
 
     Turning a double into a decimal and adding decimals takes several times as
     long as the rest of a grouping. Nearly all amounts are a whole number of
@@ -52,19 +64,15 @@ def exact_sum(amount: Column) -> Column:
     (over a million, or with more than 15 digits) are added as decimals.
     """
     picos = _picos(amount)
-    limbs = (
-        F.shiftright(picos, 2 * _LIMB_BITS),
-        F.shiftright(picos, _LIMB_BITS).bitwiseAND(_LIMB_MASK),
-        picos.bitwiseAND(_LIMB_MASK),
-    )
-    high, middle, low = (
-        F.sum(limb).cast("decimal(19,0)")
-        * F.lit(Decimal(2 ** (_LIMB_BITS * power)).scaleb(-12))
-        for limb, power in zip(limbs, (2, 1, 0))
+    whole = _limbs_as_decimal(
+        F.sum(F.shiftright(picos, 40)),
+        F.sum(F.shiftright(picos, 20).bitwiseAND(_LIMB - 1)),
+        F.sum(picos.bitwiseAND(_LIMB - 1)),
     )
-    whole = high + middle + low
-    rest = F.sum(F.when(picos.isNull(), amount.cast(LINE_AMOUNT))).cast("decimal(36,12)")
-    return F.coalesce(whole + rest, whole, rest).cast(TOTAL_AMOUNT)
+    rest = F.sum(F.when(picos.isNull(), amount.cast(LINE_AMOUNT)))
+    both = whole + rest.cast("decimal(36,12)")
+    total = F.when(rest.isNull(), whole).when(whole.isNull(), rest).otherwise(both)
+    return total.cast(TOTAL_AMOUNT)
 
 
 def as_usd(total: Column) -> Column:
