@@ -11,6 +11,10 @@ from tallyloom.operators.cost_report import by_cost, grouped_totals, shown
 from tallyloom.plans.reports import cost_by_resource
 from tallyloom.sources.bill import Period
 
+# A power of two. Masking a hash is never NULL as far as Spark can tell, so the
+# join adds no NULL filter on one side, and both sides share one reading of the bill.
+SALTS = 256
+
 
 def top_resources(bill: DataFrame, n: int = 20, period: Period = None) -> DataFrame:
     """The ``n`` most expensive resources with their rank.
@@ -29,10 +33,11 @@ def shared_resources(
 ) -> DataFrame:
     """Resources with more than one principal, and each principal's share.
 
-    The bill is reduced to one row per resource and principal, and these to one
-    per resource, before the two meet in a join. Unlike a window per resource,
-    which needs all its rows in one task, the join lets Spark split a resource
-    with very many principals between tasks (adaptive skew join).
+    The bill is first reduced to one row per resource and principal. These could
+    still be very many for one resource, so they are never brought together:
+    each is counted under its resource and one of ``SALTS`` hash values of its
+    principal, the at most ``SALTS`` counts of a resource are added up, and the
+    rows then meet their resource's total in a join on both keys.
     """
     measures = {"cost_usd": cost()}
     resource, principal = F.col("line_item_resource_id"), F.col("line_item_iam_principal")
@@ -42,17 +47,21 @@ def shared_resources(
         measures,
         period,
         where=[filled(resource), filled(principal)],
-    )
-    per_resource = (
-        pairs.groupBy("resource_id")
-        .agg(
-            F.sum("cost_usd").alias("resource_cost_usd"),
-            F.count("*").alias("principals"),
+    ).withColumn("salt", F.xxhash64("iam_principal").bitwiseAND(SALTS - 1))
+    whole = Window.partitionBy("resource_id")
+    per_salt = (
+        pairs.groupBy("resource_id", "salt")
+        .agg(F.sum("cost_usd").alias("salt_cost"), F.count("*").alias("salt_principals"))
+        .select(
+            "resource_id",
+            "salt",
+            F.sum("salt_cost").over(whole).alias("resource_cost_usd"),
+            F.sum("salt_principals").over(whole).alias("principals"),
         )
         .where(F.col("principals") > 1)
     )
     measures["resource_cost_usd"] = Measure(F.sum("resource_cost_usd"), as_usd)
-    report = shown(pairs.join(per_resource, "resource_id"), measures).select(
+    report = shown(pairs.join(per_salt, ["resource_id", "salt"]), measures).select(
         "resource_id",
         "iam_principal",
         "cost_usd",
