@@ -51,7 +51,7 @@ def _profile(bill: DataFrame, fields, partition_columns) -> DataFrame:
 def column_profile(
     bill: DataFrame,
     partition_columns: Sequence[str] = (PARTITION_COLUMN,),
-    columns_per_pass: int = 50,
+    columns_per_pass: int = 48,
 ) -> DataFrame:
     """One row per column: type, partition flag, rows, NULLs and blanks.
 
@@ -59,8 +59,9 @@ def column_profile(
     glance whether the export carries resource ids, principals and tags at all.
 
     Each pass reads its own columns and counts them in one aggregate. More than
-    100 columns in one pass would switch off both the vectorised Parquet reader
-    and code generation, hence several; no column is read twice.
+    100 columns read or counts made in one pass would switch off the vectorised
+    Parquet reader and code generation, hence several passes of less than half
+    as many columns; no column is read twice.
     """
     fields = list(bill.schema)
     passes = (

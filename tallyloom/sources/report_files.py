@@ -13,7 +13,7 @@ def write_report(
     """Write a report as CSV with a header line, or as Parquet.
 
     In CSV a NULL is an empty field and a blank value a quoted empty one. Spark
-    reads both as NULL unless told ``nullValue='\\\\N'``.
+    reads both as NULL unless told ``nullValue='\\N'``.
 
     Every task writes its own file. A sorted report is range-partitioned by its
     sort keys, so reading the files in name order gives the sorted report and no
