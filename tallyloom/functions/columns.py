@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    """A column name for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string constant for use in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def filled(value: Column) -> Column:
     """Filter for rows with a value; NULL as well as ``''`` do not pass."""
     return value != ""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyloom.functions.columns import literal, quoted
 from tallyloom.sources.bill_schema import PARTITION_COLUMN
 
 
@@ -17,35 +17,32 @@ def preview(bill: DataFrame, n: int = 10) -> DataFrame:
     return bill.limit(n)
 
 
-def _counts(field: T.StructField) -> Iterator[Column]:
-    value = F.col(field.name)
-    yield F.count(value).alias(f"filled_{field.name}")
+def _counts(field: T.StructField) -> Iterator[str]:
+    name = quoted(field.name)
+    yield f"count({name}) AS {quoted('filled_' + field.name)}"
     if isinstance(field.dataType, T.StringType):
-        yield F.count_if(value == "").alias(f"blank_{field.name}")
+        yield f"count_if({name} = '') AS {quoted('blank_' + field.name)}"
 
 
-def _profile_row(field: T.StructField, partition_columns: Sequence[str]) -> Column:
-    blanks = (
-        F.col(f"blank_{field.name}")
-        if isinstance(field.dataType, T.StringType)
-        else F.lit(0).cast("long")
-    )
-    return F.struct(
-        F.lit(field.name).alias("column_name"),
-        F.lit(field.dataType.simpleString()).alias("data_type"),
-        F.lit(field.name in partition_columns).alias("is_partition"),
-        F.col("row_count"),
-        (F.col("row_count") - F.col(f"filled_{field.name}")).alias("null_count"),
-        blanks.alias("blank_count"),
-    )
+def _profile_row(field: T.StructField, partition_columns: Sequence[str]) -> str:
+    is_string = isinstance(field.dataType, T.StringType)
+    return f"""named_struct(
+        'column_name', {literal(field.name)},
+        'data_type', {literal(field.dataType.simpleString())},
+        'is_partition', {field.name in partition_columns},
+        'row_count', row_count,
+        'null_count', row_count - {quoted('filled_' + field.name)},
+        'blank_count', {quoted('blank_' + field.name) if is_string else '0L'})"""
 
 
-def _profile(bill: DataFrame, fields, partition_columns) -> DataFrame:
-    counts = bill.agg(
-        F.count("*").alias("row_count"), *(c for f in fields for c in _counts(f))
+def _profile(
+    bill: DataFrame, fields: Sequence[T.StructField], partition_columns: Sequence[str]
+) -> DataFrame:
+    counts = bill.selectExpr(
+        "count(*) AS row_count", *(c for field in fields for c in _counts(field))
     )
-    rows = F.array(*(_profile_row(field, partition_columns) for field in fields))
-    return counts.select(F.inline(rows))
+    rows = ", ".join(_profile_row(field, partition_columns) for field in fields)
+    return counts.selectExpr(f"inline(array({rows}))")
 
 
 def column_profile(

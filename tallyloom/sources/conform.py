@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.columns import quoted
 from tallyloom.sources.bill_schema import BILL_SCHEMA
 
 
@@ -22,12 +22,12 @@ def conform(bill: DataFrame, schema: T.StructType = BILL_SCHEMA) -> DataFrame:
     """
     found = _by_lower_name(bill.schema)
 
-    def declared(field: T.StructField):
+    def declared(field: T.StructField) -> str:
         source = found.get(field.name.lower())
-        value = F.lit(None) if source is None else bill[source.name]
-        return value.cast(field.dataType).alias(field.name)
+        value = "NULL" if source is None else quoted(source.name)
+        return f"CAST({value} AS {field.dataType.simpleString()}) AS {quoted(field.name)}"
 
-    return bill.select(*map(declared, schema))
+    return bill.selectExpr(*map(declared, schema))
 
 
 def schema_drift(bill: DataFrame, schema: T.StructType = BILL_SCHEMA) -> DataFrame:

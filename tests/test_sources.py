@@ -150,6 +150,12 @@ def test_column_profile(spark):
         assert [n for n, r in found.items() if r.is_partition] == ["billing_period"]
 
 
+def test_column_profile_of_odd_names(spark):
+    odd = spark.createDataFrame([("", None), (None, 1)], "`it's a.b` string, `c``d` int")
+    found = sorted(tuple(row) for row in column_profile(odd).collect())
+    assert found == [("c`d", "int", False, 2, 1, 0), ("it's a.b", "string", False, 2, 1, 1)]
+
+
 def test_preview(spark, stored):
     assert preview(read_bill(spark, stored)).count() == 10
     assert preview(read_bill(spark, stored), 3).count() == 3
