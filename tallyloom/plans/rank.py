@@ -24,7 +24,7 @@ def top_resources(bill: DataFrame, n: int = 20, period: Period = None) -> DataFr
     """
     best = cost_by_resource(bill, period).limit(n)
     order = by_cost(["resource_id", "service", "region"])
-    rank = F.row_number().over(Window.orderBy(*order))
+    rank = F.row_number().over(Window.orderBy(*order)).cast("long")
     return best.select(rank.alias("rank"), "*").orderBy("rank")
 
 
