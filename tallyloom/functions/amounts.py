@@ -55,10 +55,10 @@ def _limbs_as_decimal(high: Column, middle: Column, low: Column) -> Column:
 
 
 def exact_sum(amount: Column) -> Column:
-    """Same total as ``sum(cast(amount as decimal(28,12)))`` in a fraction of its time.
+    """Same total as ``sum(cast(amount as decimal(28,12)))`` in about half its time.
 
-    Turning a double into a decimal and adding decimals takes several times as
-    long as the rest of a grouping. Nearly all amounts are a whole number of
+    Turning doubles into decimals and adding these takes longer than all the rest
+    of a grouping. Nearly all amounts are a whole number of
     1e-12 below 2**60, and are added as longs, in three limbs of 20 bits, so that
     no group with fewer than 2**43 lines can overflow. Only the other amounts
     (over a million, or with more than 15 digits) are added as decimals.
