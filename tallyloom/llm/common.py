@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,32 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def doc_key(column: str) -> Column:
+    """The doc_id as a long that is never NULL, to join and order by."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
+
+
+def text_hash(column: str) -> Column:
+    """Tells rows with the same doc_id apart; NULL counts as an empty text."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of ``rows`` has them already."""
+    taken = {name.lower() for name in rows.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def attach(
     rows: DataFrame,
     facts: DataFrame,

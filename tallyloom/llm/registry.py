@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.decontamination import op5_decontamination
+from tallyloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tallyloom.llm.packing import op1_packing
+from tallyloom.llm.simhash import op10_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing}
+    return {
+        "op1_packing": op1_packing,
+        "op5_decontamination": op5_decontamination,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}
