@@ -16,16 +16,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    That folder is ``spark.checkpoint.dir``. Where a session has none (tests on
-    one machine), a temporary folder is set.
+    Where a session has none (tests on one machine), a temporary folder is set.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

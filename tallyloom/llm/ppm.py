@@ -3,7 +3,8 @@
 The model is a trie of byte contexts with the counts of the bytes that followed.
 The probability of a byte is taken from its longest context that knows it; each
 longer one that does not gives an escape, whose share is estimated by the number
-of different bytes seen there, and the bytes it has seen are excluded below.
+of different bytes seen there (method D: half of it, over the bytes counted), and
+the bytes it has seen are excluded below.
 
 The trie is a table, one row per context, built level by level by Spark. Texts are
 dealt to blocks of bounded size. A block asks only for the byte sequences that
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import doc_key, let, read_table, stored, text_hash
+from tallyloom.llm.common import doc_key, read_table, stored, text_hash
 
 #: Bytes of context.
-ORDER = 4
+ORDER = 5
 #: Expected characters of text in a block.
 BLOCK_CHARS = 16_000_000
 #: Bytes whose sequences are counted at once.
@@ -335,9 +336,8 @@ def _trie(counts: DataFrame, order: int) -> list[DataFrame]:
 
     The longest have the counts of the corpus. A shorter one counts in how many
     contexts one byte longer each byte was seen, since these are the places where
-    it would have been asked. ``rest`` is the weight that the next shorter context
-    has left for other bytes, once the bytes seen here are excluded, with the
-    escape; ``rest_kinds`` is the weight of that escape.
+    it would have been asked. ``rest`` is what the next shorter context has counted
+    of other bytes than those seen here, and ``rest_kinds`` the number of these.
     """
     level = counts.where("n > 0").select(
         F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n"
@@ -370,7 +370,7 @@ def _trie(counts: DataFrame, order: int) -> list[DataFrame]:
                     "seen",
                     "total",
                     "kinds",
-                    (F.col("below_total") - excluded + kinds).alias("rest"),
+                    (F.col("below_total") - excluded).alias("rest"),
                     kinds.alias("rest_kinds"),
                 )
             )
@@ -383,15 +383,16 @@ def _joined(rows: DataFrame, nodes: DataFrame, key: str, length: int) -> DataFra
     return rows.join(F.broadcast(nodes) if length <= 1 else nodes, key, "left")
 
 
+def _cost(n: Column, total: Column) -> Column:
+    return F.log10((2 * n - 1) / F.nullif(2 * total, F.lit(0)))
+
+
 def _costs(counts: DataFrame, order: int) -> DataFrame:
     """``gram`` and ``cost``, the log10 probability of its last byte after the others."""
     trie = _trie(counts, order)
-    weight = F.col("total") + F.col("kinds")
-    known = trie[order].select(
-        "context", F.explode("seen").alias("byte", "n"), weight.alias("weight")
-    ).select(
+    known = trie[order].select("context", "total", F.explode("seen").alias("byte", "n")).select(
         (F.shiftleft("context", 8) + F.col("byte")).alias("gram"),
-        F.log10(F.col("n") / F.col("weight")).alias("cost"),
+        _cost(F.col("n"), F.col("total")).alias("cost"),
     )
     asked = counts.where("n = 0").select(
         "gram",
@@ -404,11 +405,10 @@ def _costs(counts: DataFrame, order: int) -> DataFrame:
     for length in range(order, -1, -1):
         asked = asked.withColumn("context", _last_bytes_of_gram(length))
         asked = _joined(asked, trie[length], "context", length)
-        here = F.coalesce("left", F.col("total") + F.col("kinds"))
+        total = F.coalesce("left", "total")
         kinds = F.coalesce("left_kinds", "kinds")
-        n = F.col("seen")[F.col("byte")]
-        found = F.when(n.isNotNull(), F.col("so_far") + F.log10(n / here))
-        escape = F.when(kinds > 0, F.log10(kinds / here))
+        found = F.col("so_far") + _cost(F.col("seen")[F.col("byte")], total)
+        escape = F.when(kinds > 0, F.log10(kinds / F.nullif(2 * total, F.lit(0))))
         asked = asked.select(
             "gram",
             "byte",

@@ -3,25 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.decontamination import op5_decontamination
+from tallyloom.llm.html_extract import op7_html_extract
+from tallyloom.llm.language_id import op4_language_id
+from tallyloom.llm.licenses import op2_licenses
 from tallyloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tallyloom.llm.packing import op1_packing
+from tallyloom.llm.ppm import op8_lm_scoring
 from tallyloom.llm.simhash import op10_simhash
+from tallyloom.llm.topk import OP3_SQL, op3_topk
+from tallyloom.llm.url_filter import op6_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
+_HOME = str(Path(__file__).resolve().parents[2])
+
+
+def _found_by_workers(query: Query) -> Query:
+    """Python workers of a local session look for the package where this one lies."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", _HOME)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def llm_queries() -> dict[str, Query]:
-    return {
-        "op1_packing": op1_packing,
-        "op5_decontamination": op5_decontamination,
-        "op9_line_dedup": op9_line_dedup,
-        "op10_simhash": op10_simhash,
-    }
+    return {name: _found_by_workers(query) for name, query in _QUERIES.items()}
+
+
+_QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op2_licenses": op2_licenses,
+    "op3_topk": op3_topk,
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
+    "op6_url_filter": op6_url_filter,
+    "op7_html_extract": op7_html_extract,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_simhash": op10_simhash,
+}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op3_topk": OP3_SQL, "op9_line_dedup": OP9_SQL}
