@@ -27,11 +27,12 @@ _TABLES = {
 }
 
 
-def _effective_cost(line: int) -> str:
+_DISCOUNT = "CAST(l_discount AS DECIMAL(15,2))"
+
+
+def _part_of_price(line: int, part: str = f"(CAST(1 AS DECIMAL(15,2)) - {_DISCOUNT})") -> str:
     return f"""CASE WHEN l_linenumber = {line}
-        THEN CAST(CAST(l_extendedprice AS DECIMAL(15,2))
-                  * (CAST(1 AS DECIMAL(15,2)) - CAST(l_discount AS DECIMAL(15,2)))
-             AS DOUBLE)
+        THEN CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * {part} AS DOUBLE)
         ELSE 0D END"""
 
 
@@ -41,6 +42,12 @@ def _tag(key: str, present: str, value: str) -> str:
     return f"IF({present}, {entry}, CAST(array() AS ARRAY<STRUCT<key STRING, value STRING>>))"
 
 
+_PLAIN_TAGS = ", ".join(
+    [
+        _tag("env", "l_suppkey % 4 <> 1", "IF(l_suppkey % 4 = 2, '', 'env/' || (l_partkey % 3))"),
+        _tag("team", "l_suppkey % 5 = 0", "'team/' || (l_partkey % 2)"),
+    ]
+)
 _TAGS = ", ".join(
     [
         _tag(
@@ -78,9 +85,15 @@ _EXPRESSIONS = {
     "line_item_usage_amount": "l_quantity",
     "line_item_unblended_cost": "IF(l_linenumber IN (5, 7), -l_extendedprice,"
     " l_extendedprice)",
-    "savings_plan_savings_plan_effective_cost": _effective_cost(3),
-    "reservation_effective_cost": _effective_cost(2),
+    "savings_plan_savings_plan_effective_cost": _part_of_price(3),
+    "reservation_effective_cost": _part_of_price(2),
+    "savings_plan_total_commitment_to_date": "IF(l_linenumber = 4, l_extendedprice, NULL)",
+    "savings_plan_used_commitment": _part_of_price(4),
+    "reservation_unused_recurring_fee": _part_of_price(2, _DISCOUNT),
+    "reservation_unused_amortized_upfront_fee_for_billing_period": "IF(l_linenumber = 2"
+    " AND l_partkey % 2 = 1, l_quantity, NULL)",
     "resource_tags": f"IF(l_suppkey % 10 <> 0, map_from_entries(concat({_TAGS})), NULL)",
+    "tags": f"IF(l_suppkey % 6 <> 0, map_from_entries(concat({_PLAIN_TAGS})), NULL)",
 }
 BILL_COLUMNS = tuple(_EXPRESSIONS)
 _OF_ORDERS = {"line_item_iam_principal"}

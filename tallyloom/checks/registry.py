@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.checks.order_bill import BILL_COLUMNS, order_bill
 from tallyloom.operators.periods import missing_periods, partition_values
-from tallyloom.operators.profile import column_profile, preview
+from tallyloom.operators.profile import column_profile, preview, row_order
 from tallyloom.operators.sql import sql_report
 from tallyloom.plans import adjust, rank, reconcile, reports
 from tallyloom.sources.bill import Period
@@ -44,6 +45,13 @@ REGION = "product_region_code"
 AMOUNT = "line_item_usage_amount"
 DATE = "line_item_usage_start_date"
 TAG_MAP = "resource_tags"
+PLAIN_TAGS = "tags"
+UNUSED_COSTS = (
+    "savings_plan_total_commitment_to_date",
+    "savings_plan_used_commitment",
+    "reservation_unused_amortized_upfront_fee_for_billing_period",
+    "reservation_unused_recurring_fee",
+)
 SP_COST = "savings_plan_savings_plan_effective_cost"
 RI_COST = "reservation_effective_cost"
 
@@ -51,12 +59,22 @@ AD_HOC_SQL = """
 SELECT line_item_product_code AS service,
        CAST(CAST(SUM(CAST(line_item_unblended_cost AS DECIMAL(28,12)))
             AS DECIMAL(28,6)) AS DOUBLE) AS cost_usd
-FROM bill
+FROM {bill}
 GROUP BY 1
 ORDER BY cost_usd DESC, service
 LIMIT 5
 """
 
+
+def _unused_rules() -> adjust.Rules:
+    """Usage with the fees that were paid for nothing, each where it is charged."""
+    return {
+        **adjust.AMORTIZED_RULES,
+        "DiscountedUsage": adjust.sum_of(RI_COST, *UNUSED_COSTS[2:]),
+        "SavingsPlanRecurringFee": adjust.unused_commitment(),
+    }
+
+
 Report = Callable[[DataFrame, Period], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +98,12 @@ REPORTS: Mapping[str, tuple[Report, tuple[str, ...]]] = {
         ),
         (TAG_MAP,),
     ),
+    "cost_by_plain_tag": (
+        lambda bill, period: reports.cost_by_tag(
+            bill, "env", period, tags_column=PLAIN_TAGS, tag_name="env"
+        ),
+        (PLAIN_TAGS,),
+    ),
     "cost_by_resource_principal": (
         reports.cost_by_resource_principal,
         (RES, PRIN, SVC),
@@ -101,6 +125,10 @@ REPORTS: Mapping[str, tuple[Report, tuple[str, ...]]] = {
         (RES, PRIN, TAG_MAP),
     ),
     "tag_total": (reports.tag_total, (RES, PRIN, TAG_MAP)),
+    "tag_total_plain": (
+        lambda bill, period: reports.tag_total(bill, period, tags_column=PLAIN_TAGS),
+        (RES, PRIN, PLAIN_TAGS),
+    ),
     "panorama": (reports.panorama, (RES, PRIN, SVC, TYPE, REGION, TAG_MAP)),
     "grand_total": (reports.grand_total, ()),
     "no_resource_cost": (reports.no_resource_cost, (RES, SVC, TYPE)),
@@ -119,6 +147,14 @@ REPORTS: Mapping[str, tuple[Report, tuple[str, ...]]] = {
         lambda bill, period: adjust.amortized_cost(bill, period, rules=USAGE_ONLY_RULES),
         (SVC, TYPE, SP_COST, RI_COST),
     ),
+    "amortized_unused_cost": (
+        lambda bill, period: adjust.amortized_cost(bill, period, rules=_unused_rules()),
+        (SVC, TYPE, SP_COST, RI_COST, *UNUSED_COSTS),
+    ),
+    "amortized_total": (
+        lambda bill, period: adjust.amortized_cost(bill, period, dims={}),
+        (TYPE, SP_COST, RI_COST),
+    ),
     "dimension_coverage": (reconcile.dimension_coverage, (RES, PRIN, TAG_MAP)),
     "top_resources": (
         lambda bill, period: rank.top_resources(bill, TOP, period),
@@ -136,11 +172,31 @@ _WHOLE_BILL: Mapping[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...
     "partition_values": (partition_values, (PERIOD,)),
     "column_profile": (column_profile, BILL_COLUMNS),
     "conformed_profile": (lambda bill: column_profile(conform(bill)), BILL_COLUMNS),
-    "preview": (preview, BILL_COLUMNS),
+    "conformed_resource_day": (
+        lambda bill: reports.cost_by_resource_day(conform(bill)),
+        (PERIOD, COST, RES, DATE),
+    ),
+    "preview": (lambda bill: _first_lines(bill), BILL_COLUMNS),
     "adhoc_top_services": (lambda bill: sql_report(bill, AD_HOC_SQL), (SVC, COST)),
 }
 
 
+def _first_lines(bill: DataFrame) -> DataFrame:
+    """Ten lines in the order of all columns; tags as text, in order."""
+    first = preview(bill, order=row_order(bill))
+    entries = {
+        name: F.array_join(
+            F.transform(
+                F.array_sort(F.map_entries(name)),
+                lambda entry: F.concat_ws("=", entry["key"], entry["value"]),
+            ),
+            ",",
+        )
+        for name in (TAG_MAP, PLAIN_TAGS)
+    }
+    return first.withColumns(entries)
+
+
 def _report_query(name: str, period: Period) -> Query:
     report, columns = REPORTS[name]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +42,10 @@ def shown(totals: DataFrame, measures: Measures) -> DataFrame:
     )
 
 
-def by_cost(dims: Dims) -> list[Column]:
+def by_cost(dims: Iterable[str], first: str | None = "cost_usd") -> list[Column]:
     """Highest cost first, ties in the order of the dimensions, NULLs last."""
-    return [F.desc_nulls_last("cost_usd"), *map(F.asc_nulls_last, dims)]
+    highest = [] if first is None else [F.desc_nulls_last(first)]
+    return [*highest, *map(F.asc_nulls_last, dims)]
 
 
 def cost_report(
@@ -59,10 +60,14 @@ def cost_report(
     """A finished report: dimensions, measures, highest cost first.
 
     The sort costs a second shuffle, of the grouped rows. Pass ``sort=False``
-    where the order does not matter.
+    where the order does not matter. Without ``order``, a report with measures of
+    its own is sorted by the first of them, highest first, if it has no cost.
     """
-    measures = measures or {"cost_usd": cost()}
+    if measures is None:
+        measures = {"cost_usd": cost()}
     report = shown(grouped_totals(bill, dims, measures, period, where), measures)
     if not sort:
         return report
-    return report.orderBy(*(order or by_cost(dims)))
+    if order is None:
+        order = by_cost(dims, "cost_usd" if "cost_usd" in measures else next(iter(measures), None))
+    return report.orderBy(*order) if order else report

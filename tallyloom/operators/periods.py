@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.sources.bill import check_month
+from tallyloom.sources.bill import check_range, for_period
 from tallyloom.sources.bill_schema import PARTITION_COLUMN
 
 
 def expected_periods(bill: DataFrame, first: str, last: str) -> DataFrame:
     """All months from ``first`` to ``last``, both included."""
     start, stop = (
-        F.to_date(F.lit(check_month(month) + "-01")) for month in (first, last)
+        F.to_date(F.lit(month + "-01")) for month in check_range(first, last)
     )
     month = F.explode(F.sequence(start, stop, F.expr("INTERVAL 1 MONTH")))
     return (
@@ -27,16 +27,20 @@ def expected_periods(bill: DataFrame, first: str, last: str) -> DataFrame:
 def missing_periods(bill: DataFrame, first: str, last: str) -> DataFrame:
     """Expected months for which the bill has no line, in order.
 
-    The distinct months are found within each task first; what meets the
-    expected months in the anti join is a handful of rows.
+    Only the months from ``first`` to ``last`` are scanned. The distinct ones are
+    found within each task first; what meets the expected months in the anti join
+    is a handful of rows.
     """
-    present = bill.select(PARTITION_COLUMN).distinct()
+    present = for_period(bill, (first, last)).select(PARTITION_COLUMN).distinct()
     gaps = expected_periods(bill, first, last).join(present, PARTITION_COLUMN, "left_anti")
     return gaps.orderBy(PARTITION_COLUMN)
 
 
 def partition_values(
-    bill: DataFrame, columns: Sequence[str] = (PARTITION_COLUMN,), limit: int = 200
+    bill: DataFrame,
+    columns: Sequence[str] = (PARTITION_COLUMN,),
+    limit: int | None = None,
 ) -> DataFrame:
-    """Distinct values of the partition columns in order, the first ``limit``."""
-    return bill.select(*columns).distinct().orderBy(*columns).limit(limit)
+    """Distinct values of the partition columns in order; all, unless ``limit`` is given."""
+    values = bill.select(*columns).distinct().orderBy(*columns)
+    return values if limit is None else values.limit(limit)

@@ -5,16 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.columns import literal, quoted
 from tallyloom.sources.bill_schema import PARTITION_COLUMN
 
 
-def preview(bill: DataFrame, n: int = 10) -> DataFrame:
-    """Any ``n`` rows. Spark stops scanning once it has them."""
-    return bill.limit(n)
+def preview(bill: DataFrame, n: int = 10, order: Sequence[Column] | None = None) -> DataFrame:
+    """``n`` rows: any, or the first in an order.
+
+    Without an order Spark stops scanning once it has them. With one, each task
+    keeps its own first ``n``.
+    """
+    return (bill if order is None else bill.orderBy(*order)).limit(n)
+
+
+def row_order(bill: DataFrame) -> list[Column]:
+    """All columns in turn, NULLs first; a map as its entries in order.
+
+    Rows that are equal in this order do not differ.
+    """
+    return [
+        F.asc_nulls_first(
+            F.array_sort(F.map_entries(field.name))
+            if isinstance(field.dataType, T.MapType)
+            else F.col(field.name)
+        )
+        for field in bill.schema
+    ]
 
 
 def _counts(field: T.StructField) -> Iterator[str]:

@@ -18,7 +18,8 @@ SAVINGS_PLAN_PARTS = {
     "negation_usd": "SavingsPlanNegation",
     "covered_usage_usd": "SavingsPlanCoveredUsage",
 }
-AMORTIZED_RULES: Mapping[str, str | None] = {
+Rules = Mapping[str, str | Column | None]
+AMORTIZED_RULES: Rules = {
     "SavingsPlanCoveredUsage": "savings_plan_savings_plan_effective_cost",
     "DiscountedUsage": "reservation_effective_cost",
 }
@@ -52,16 +53,30 @@ def savings_plan_net(
     return report.orderBy(F.asc_nulls_last(PARTITION_COLUMN)) if sort else report
 
 
-def amortized_amount(rules: Mapping[str, str | None] = AMORTIZED_RULES) -> Column:
+def unused_commitment() -> Column:
+    """The part of a savings plan's commitment that was not used."""
+    used = F.coalesce("savings_plan_used_commitment", F.lit(0.0))
+    return sum_of("savings_plan_total_commitment_to_date") - used
+
+
+def sum_of(*columns: str) -> Column:
+    """Sum of columns of a line; a NULL counts as nothing."""
+    total = F.lit(0.0)
+    for column in columns:
+        total = total + F.coalesce(column, F.lit(0.0))
+    return total
+
+
+def amortized_amount(rules: Rules = AMORTIZED_RULES) -> Column:
     """Cost of a line by its charge type.
 
-    ``rules`` maps a charge type to the column that holds its amortised cost, or
-    to ``None`` if such lines shall cost nothing. Types without a rule keep the
-    unblended cost.
+    ``rules`` maps a charge type to its amortised cost: the name of a column, an
+    expression of several, or ``None`` if such lines shall cost nothing. Types
+    without a rule keep the unblended cost.
     """
     amount = F.col("line_item_unblended_cost")
-    for kind, column in rules.items():
-        amortized = F.lit(0.0) if column is None else F.col(column)
+    for kind, rule in rules.items():
+        amortized = F.lit(0.0) if rule is None else F.col(rule) if isinstance(rule, str) else rule
         amount = F.when(
             F.col("line_item_line_item_type") == kind, amortized
         ).otherwise(amount)
@@ -72,7 +87,7 @@ def amortized_cost(
     bill: DataFrame,
     period: Period = None,
     dims: Dims | None = None,
-    rules: Mapping[str, str | None] = AMORTIZED_RULES,
+    rules: Rules = AMORTIZED_RULES,
     sort: bool = True,
 ) -> DataFrame:
     """Billed and amortised cost, by service and charge type unless told otherwise.
@@ -80,9 +95,10 @@ def amortized_cost(
     With the default rules the recurring fee is still counted beside the usage
     it pays for. This is a view of usage: its total is *not* the bill.
     """
-    dims = dims or {
-        "service": F.col("line_item_product_code"),
-        "charge_type": F.col("line_item_line_item_type"),
-    }
+    if dims is None:
+        dims = {
+            "service": F.col("line_item_product_code"),
+            "charge_type": F.col("line_item_line_item_type"),
+        }
     measures = {"cost_usd": cost(), "amortized_usd": cost(amortized_amount(rules))}
     return cost_report(bill, dims, measures, period, sort=sort)

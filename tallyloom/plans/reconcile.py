@@ -39,7 +39,9 @@ def reconcile(
     Both sides end in one row each; a union and a sum put them side by side.
     """
     measures = dict(zip(_COST_AND_LINES, (cost(), lines())))
-    groups = grouped_totals(bill, dims or panorama_dims(), measures, period, where)
+    if dims is None:
+        dims = panorama_dims()
+    groups = grouped_totals(bill, dims, measures, period, where)
     of_report = groups.agg(
         F.sum("cost").alias("report_total"),
         F.sum("lines").alias("report_lines"),

@@ -16,7 +16,10 @@ _MONTH = re.compile(r"\d{4}-(0[1-9]|1[0-2])")
 
 
 def read_bill(
-    spark: SparkSession, path: str, schema: T.StructType = BILL_SCHEMA
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = BILL_SCHEMA,
+    period: Period = None,
 ) -> DataFrame:
     """Scan a bill laid out as ``<path>/BILLING_PERIOD=YYYY-MM/*.parquet``.
 
@@ -24,8 +27,27 @@ def read_bill(
     next read without any repair of a catalog. The directory name may be in
     upper or lower case. Columns a file does not have are NULL; a file whose
     types differ from the declared ones fails the read (see ``conform``).
+
+    With a ``period`` only the directories of its months are listed, and months
+    that do not exist have no rows. Without one the files of all months are
+    listed, whatever ``for_period`` chooses of them later.
     """
-    return spark.read.schema(schema).parquet(path)
+    if period is None:
+        return spark.read.schema(schema).parquet(path)
+    chosen = _month_paths(spark, path, months_of(period))
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(*chosen)
+
+
+def _month_paths(spark: SparkSession, path: str, months: list[str]) -> list[str]:
+    """Directories of the months that exist, under either spelling."""
+    names = (PARTITION_COLUMN.upper(), PARTITION_COLUMN)
+    wanted = [f"{path.rstrip('/')}/{name}={month}" for month in months for name in names]
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [one for one in wanted if files.exists(jvm_path(one))]
 
 
 def check_month(month: str) -> str:
@@ -35,16 +57,37 @@ def check_month(month: str) -> str:
     return month
 
 
+def check_range(first: str, last: str) -> tuple[str, str]:
+    """Return both months if they are in order, else raise ``ValueError``."""
+    if check_month(first) > check_month(last):
+        raise ValueError(f"range of months is reversed: {first} is after {last}")
+    return first, last
+
+
+def months_of(period: str | tuple[str, str]) -> list[str]:
+    """All months of a period, in order."""
+    if isinstance(period, str):
+        return [check_month(period)]
+    first, last = check_range(*period)
+    year, month = map(int, first.split("-"))
+    found = []
+    while (name := f"{year:04d}-{month:02d}") <= last:
+        found.append(name)
+        year, month = (year + 1, 1) if month == 12 else (year, month + 1)
+    return found
+
+
 def for_period(bill: DataFrame, period: Period) -> DataFrame:
     """Keep one month, an inclusive range of months, or (``None``) everything.
 
     The predicate is on the bare partition column, so only the directories of
-    the chosen months are listed and read.
+    the chosen months are read. A range whose first month is after its last raises
+    ``ValueError``.
     """
     if period is None:
         return bill
     month = F.col(PARTITION_COLUMN)
     if isinstance(period, str):
         return bill.where(month == check_month(period))
-    first, last = map(check_month, period)
+    first, last = check_range(*period)
     return bill.where((month >= first) & (month <= last))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from bills import bill, rows
 from tallyloom.plans import adjust, rank, reconcile, reports
-from tallyloom.operators.cost_report import grouped_totals
+from tallyloom.operators.cost_report import cost_report, grouped_totals
 from tallyloom.operators.sql import sql_report
 from tallyloom.functions.amounts import cost
+from tallyloom.functions.amounts import lines as count_lines
 
 
 @pytest.fixture(scope="module")
@@ -326,8 +327,53 @@ def test_unsorted_totals_stay_exact(golden):
 def test_free_sql(spark, blanks):
     found = sql_report(
         blanks,
-        "SELECT tag_key, count(*) AS n FROM bill "
+        "SELECT tag_key, count(*) AS n FROM {bill} "
         "LATERAL VIEW explode(resource_tags) t AS tag_key, tag_value "
         "GROUP BY 1 ORDER BY 1",
     )
     assert rows(found) == [("other", 9), ("user_owner", 18)]
+
+
+def test_free_sql_leaves_the_views_of_the_session_alone(spark, blanks):
+    spark.range(3).createOrReplaceTempView("bill")
+    before = {table.name for table in spark.catalog.listTables()}
+    for name in ("bill", "lines"):
+        found = sql_report(blanks, f"SELECT count(*) AS n FROM {{{name}}}", name=name)
+        assert found.first().n == blanks.count()
+    assert spark.table("bill").count() == 3
+    assert {table.name for table in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("bill")
+
+
+def test_no_dimensions_give_one_total(golden):
+    total = grand_total_of(golden)
+    assert rows(adjust.amortized_cost(golden, dims={}, rules={})) == [(total, total)]
+    found = reconcile.reconcile(golden, dims={}).first()
+    assert (found.report_groups, found.report_total_usd) == (1, total)
+    assert rows(cost_report(golden, {})) == [(total,)]
+
+
+def grand_total_of(lines):
+    return reports.grand_total(lines).first().grand_total_usd
+
+
+def test_report_of_own_measures_is_sorted_by_the_first(golden):
+    found = cost_report(
+        golden, {"t": F.col("line_item_line_item_type")}, {"n": count_lines(), "c": cost()}
+    )
+    counts = [row.n for row in found.collect()]
+    assert counts == sorted(counts, reverse=True)
+
+
+def test_rules_may_combine_columns(spark):
+    columns = {
+        "savings_plan_total_commitment_to_date": [None, 10.0, 7.0],
+        "savings_plan_used_commitment": [1.0, 4.0, None],
+    }
+    lines = bill(spark, *({"type": "SavingsPlanRecurringFee", "resource": str(n)} for n in range(3)))
+    for name, values in columns.items():
+        value = F.element_at(F.array(*map(F.lit, values)), F.col("line_item_resource_id").cast("int") + 1)
+        lines = lines.withColumn(name, value)
+    rules = {"SavingsPlanRecurringFee": adjust.unused_commitment()}
+    found = adjust.amortized_cost(lines, dims={"r": F.col("line_item_resource_id")}, rules=rules)
+    assert {r.r: r.amortized_usd for r in found.collect()} == {"0": -1.0, "1": 6.0, "2": 7.0}

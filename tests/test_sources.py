@@ -11,12 +11,12 @@ from bills import bill, rows
 from conftest import SF_DIR
 from tallyloom.checks.order_bill import order_bill
 from tallyloom.operators.periods import missing_periods, partition_values
-from tallyloom.operators.profile import column_profile, preview
+from tallyloom.operators.profile import column_profile, preview, row_order
 from tallyloom.plans import reconcile, reports
 from tallyloom.sources.bill import for_period, read_bill
 from tallyloom.sources.bill_schema import BILL_DATA_SCHEMA, BILL_SCHEMA
 from tallyloom.sources.conform import conform, schema_drift
-from tallyloom.sources.report_files import write_report
+from tallyloom.sources.report_files import read_report, write_report
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,48 @@ def test_new_month_is_seen_without_repair(spark, tmp_path):
     assert rows(partition_values(table, limit=1)) == [("2026-06",)]
 
 
+def test_partition_values_are_whole_unless_limited(spark):
+    pairs = spark.range(900).selectExpr("id % 30 AS a", "id div 30 AS b")
+    found = rows(partition_values(pairs, ("a", "b")))
+    assert found == [(a, b) for a in range(30) for b in range(30)]
+    assert rows(partition_values(pairs, ("a", "b"), limit=7)) == found[:7]
+
+
+@pytest.mark.parametrize("name", ["BILLING_PERIOD", "billing_period"])
+def test_read_lists_only_the_months_of_the_period(spark, tmp_path, name):
+    path = str(tmp_path / "bill")
+    for month in ("2026-04", "2026-05", "2026-07"):
+        lines = conform(bill(spark, {"resource": month, "period": month})).drop("billing_period")
+        lines.write.parquet(f"{path}/{name}={month}")
+    whole = read_bill(spark, path)
+    for period in ("2026-05", ("2026-05", "2026-08")):
+        part = read_bill(spark, path, period=period)
+        assert part.schema == whole.schema
+        months = {"2026-05"} if isinstance(period, str) else {"2026-05", "2026-07"}
+        assert {file.split("=")[1][:7] for file in part.inputFiles()} == months
+        assert sorted(rows(reports.cost_by_resource(part))) == sorted(
+            rows(reports.cost_by_resource(whole, period))
+        )
+    none = read_bill(spark, path, period="2026-06")
+    assert none.schema == whole.schema and none.isEmpty()
+
+
+def test_reversed_ranges_raise(spark, stored):
+    for wrong in (
+        lambda: for_period(read_bill(spark, stored), ("1997-07", "1997-05")),
+        lambda: read_bill(spark, stored, period=("1997-07", "1997-05")),
+        lambda: missing_periods(read_bill(spark, stored), "1997-07", "1997-05"),
+    ):
+        with pytest.raises(ValueError, match="reversed"):
+            wrong()
+
+
+def test_missing_periods_scans_its_range_only(spark, stored, conf):
+    conf("spark.sql.maxMetadataStringLength", "1000")
+    text = plan(missing_periods(read_bill(spark, stored), "1997-06", "1997-09"))
+    assert ">= 1997-06" in text and "<= 1997-09" in text
+
+
 def test_month_prunes_directories_and_columns(spark, stored, conf):
     conf("spark.sql.maxMetadataStringLength", "1000")
     text = plan(reports.cost_by_resource(read_bill(spark, stored), "1997-06"))
@@ -128,6 +170,43 @@ def test_conform_casts_orders_and_fills(spark):
     assert schema_drift(good).isEmpty()
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Shanghai", "America/New_York"])
+def test_conform_keeps_utc_days(spark, conf, zone):
+    conf("spark.sql.session.timeZone", zone)
+    day = {
+        "TIMESTAMP_NTZ'2026-06-01 01:00:00'": "2026-06-01",
+        "TIMESTAMP_NTZ'2026-06-01 23:30:00.5'": "2026-06-01",
+        "DATE'2026-06-01'": "2026-06-01",
+        "TIMESTAMP'2026-06-01 01:00:00+03:00'": "2026-05-31",
+        "'2026-06-01 01:00:00'": "2026-06-01",
+        "'2026-06-01T23:59:59.25'": "2026-06-01",
+        "' 2026-06-01 '": "2026-06-01",
+        "'2026-06-01T01:00:00Z'": "2026-06-01",
+        "'2026-06-01 01:00:00 UTC'": "2026-06-01",
+        "'2026-06-01T01:00:00+03:00'": "2026-05-31",
+        "'2026-06-01 22:00:00-05:00'": "2026-06-02",
+        "'2026-06-01 01:00:00 Asia/Tokyo'": "2026-05-31",
+    }
+    for value, wanted in day.items():
+        raw = spark.sql(
+            f"SELECT 'r' AS line_item_resource_id, 1D AS line_item_unblended_cost, "
+            f"{value} AS line_item_usage_start_date, '2026-06' AS billing_period"
+        )
+        found = reports.cost_by_resource_day(conform(raw)).first()
+        assert str(found.usage_date) == wanted, value
+
+
+def test_columns_twice_but_for_case(spark, conf):
+    conf("spark.sql.caseSensitive", "true")
+    twice = spark.createDataFrame([(1.0, 2.0, 1, 2)], "tags_x double, Tags_X double, a int, A int")
+    conform(twice).collect()  # neither is declared
+    both = twice.withColumnsRenamed({"a": "bill_bill_type", "A": "BILL_BILL_TYPE"})
+    with pytest.raises(ValueError, match="bill_bill_type"):
+        conform(both)
+    drift = {(r.column_name, r.drift) for r in schema_drift(both).collect()}
+    assert {("bill_bill_type", "duplicate"), ("BILL_BILL_TYPE", "duplicate")} <= drift
+
+
 def test_conform_does_not_lose_values_silently(spark):
     bad = spark.createDataFrame([("n/a",)], "line_item_unblended_cost string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -159,6 +238,9 @@ def test_column_profile_of_odd_names(spark):
 def test_preview(spark, stored):
     assert preview(read_bill(spark, stored)).count() == 10
     assert preview(read_bill(spark, stored), 3).count() == 3
+    table = read_bill(spark, stored)
+    ordered = rows(preview(table, 5, order=row_order(table)))
+    assert ordered == rows(preview(table.repartition(7), 5, order=row_order(table)))
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
@@ -174,7 +256,7 @@ def test_write_report_round_trip(spark, tmp_path, fmt):
     write_report(report, path, fmt)
     reader = spark.read.schema(report.schema)
     back = (
-        reader.options(header=True, escape='"', nullValue="\\N").csv(path)
+        read_report(spark, path, report.schema)
         if fmt == "csv"
         else reader.parquet(path)
     )
@@ -186,6 +268,22 @@ def test_write_report_round_trip(spark, tmp_path, fmt):
         write_report(report, path, "xls")
 
 
+@pytest.mark.parametrize("mark", [None, "NULL"])
+def test_null_and_blank_stay_apart_in_csv(spark, tmp_path, mark):
+    lines = bill(
+        spark,
+        {"resource_tags": {"k": ""}, "cost": 3.0},
+        {"resource_tags": None, "cost": 2.0},
+        {"resource_tags": {"k": "v"}},
+    )
+    report = reports.cost_by_tag(lines, "k")
+    path = str(tmp_path / "report")
+    options = {} if mark is None else {"null_value": mark}
+    write_report(report, path, **options)
+    back = read_report(spark, path, report.schema, **options)
+    assert sorted(rows(back), key=repr) == [("", 3.0), ("v", 1.0), (None, 2.0)]
+
+
 def test_written_report_is_in_order(spark, tmp_path):
     lines = bill(spark, *({"resource": f"r{n}", "cost": float(n)} for n in range(300)))
     path = str(tmp_path / "report")
