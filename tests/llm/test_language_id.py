@@ -1,0 +1,91 @@
+import duckdb
+from pyspark.sql import functions as F
+
+from conftest import SF_DIR
+from tallyloom.llm.language_id import (
+    LANGUAGES,
+    accepted_documents,
+    host_priors,
+    identify,
+    train_text_model,
+)
+
+TEXTS = {
+    "en": "the quick brown fox jumps over the lazy dog and then it sleeps in the sun ",
+    "de": "der schnelle braune fuchs springt über den faulen hund und schläft dann in der sonne ",
+    "fr": "le renard brun et rapide saute par dessus le chien paresseux puis il dort au soleil ",
+    "es": "el rápido zorro marrón salta sobre el perro perezoso y luego duerme al sol mañana ",
+}
+
+
+def model(spark):
+    rows = [(lang, text * 5) for lang, text in TEXTS.items()] + [("xx", "?"), (None, "a"), ("en", None)]
+    return train_text_model(spark.createDataFrame(rows, "lang string, text string"))
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    trained = train_text_model(docs.where("doc_id % 2 = 0"))
+    held = docs.where("doc_id % 2 = 1")
+    nothing = F.lit(None).cast("string")
+    found = identify(held, trained, "text", nothing, nothing, nothing, ["doc_id", "lang"])
+    rows = found.select("row.*", "language", "accepted").collect()
+    assert sum(row.lang == row.language for row in rows) >= 0.97 * len(rows)
+    assert all(row.accepted for row in rows)
+
+
+def test_evidence_is_fused(spark):
+    rows = [
+        (1, TEXTS["de"], "fr", "h", "fr"),  # a clear text outweighs the rest
+        (2, "an", "de", "h", "de"),  # a short one does not
+        (3, "", "de", "h", None), (4, None, None, None, None), (5, "12 34 !!", "en", "h", "en"),
+        (6, TEXTS["es"], "zz", None, "zz"), (6, TEXTS["es"], "zz", None, "zz"),
+    ] + [(n, TEXTS["fr"], None, "sub.fr.example", None) for n in range(10, 60)]
+    rows += [(60, "un", None, "new.fr.example", None), (61, "un", None, "sub.fr.example", None)]
+    frame = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    found = identify(
+        frame, model(spark), "text", F.col("declared"), F.col("host"), F.col("suffix"), ["id"]
+    ).select("row.*", "language", "posterior", "accepted")
+    assert found.count() == len(rows)
+    by_id = {row.id: row for row in found.collect()}
+    assert by_id[1].language == "de" and by_id[2].language == "de" and by_id[6].language == "es"
+    assert by_id[60].language == by_id[61].language == "fr"  # the hosts speak French
+    assert not any(by_id[n].accepted for n in (3, 4, 5))
+    assert all(0 < row.posterior <= 1 for row in by_id.values())
+
+
+def test_priors_are_smoothed_level_by_level(spark):
+    hosts = [("a.x.org", 9), ("b.x.org", 0), ("c.y.org", 0), ("plain", 1)]
+    columns = [F.col("n").cast("double").alias(f"_host_{name}") for name in LANGUAGES[:1]]
+    zeros = [F.lit(5.0 if name == "en" else 0.0).alias(f"_host_{name}") for name in LANGUAGES[1:]]
+    frame = spark.createDataFrame(hosts, "_host string, n int").select("_host", *columns, *zeros)
+    prior = {row._host: row._prior for row in host_priors(frame).collect()}
+    assert len(prior) == 4
+    for shares in prior.values():
+        assert abs(sum(shares) - 1) < 1e-9 and all(share > 0 for share in shares)
+    german = {host: shares[0] for host, shares in prior.items()}
+    assert german["a.x.org"] > german["b.x.org"] > german["c.y.org"]
+
+
+def test_accepted_documents_keep_their_columns(spark):
+    rows = [(1, TEXTS["en"], "en", "s", 3, "c"), (2, None, "en", "s", 0, "c"), (3, "#! 77", None, None, 1, "c")]
+    rows += [(4, TEXTS["en"], None, None, None, None)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long, _host string"
+    )
+    kept = accepted_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(row.doc_id for row in kept.collect()) == [1, 4]
+    assert accepted_documents(docs.limit(0)).isEmpty()
+
+
+def test_pages_follow_their_markup(spark):
+    from tallyloom.llm.language_id import op4_language_id
+
+    found = op4_language_id(spark, SF_DIR).collect()
+    declared = duckdb.sql(
+        f"SELECT page_id, regexp_extract(html, 'lang=\"(..)\"', 1) FROM '{SF_DIR}/pages.parquet'"
+    ).fetchall()
+    assert len(found) == len(declared)
+    agree = {row.page_id: row.language for row in found}
+    assert sum(agree[page] == lang for page, lang in declared) >= 0.95 * len(declared)

@@ -1,0 +1,88 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tallyloom.llm.packing import first_fit, pack
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, group_id string, start int"
+
+
+def naive_first_fit(lengths, room):
+    bins, places = [], []
+    for length in lengths:
+        at = next((n for n, used in enumerate(bins) if used + length <= room), len(bins))
+        if at == len(bins):
+            bins.append(0)
+        places.append((at, bins[at]))
+        bins[at] += length
+    return places
+
+
+def test_tournament_is_first_fit():
+    draw = random.Random(1)
+    for size in (0, 1, 2, 7, 300):
+        lengths = sorted((draw.randint(1, 50) for _ in range(size)), reverse=True)
+        assert list(zip(*first_fit(lengths, 50))) == naive_first_fit(lengths, 50)
+
+
+def checked(frame, texts, room):
+    """Every id is in one piece, its place free; gives the sequences' lengths."""
+    tokenizer = Tokenizer.from_file(PATH)
+    pieces, used = {}, {}
+    for row in frame.collect():
+        pieces.setdefault(row.doc_id, []).append(row)
+        used.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    assert set(pieces) == set(texts)
+    for doc_id, text in texts.items():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        at = 0
+        for row in sorted(pieces[doc_id], key=lambda row: row.start):
+            part = np.array(ids[at : at + row.length], "<u4")
+            assert (row.start, row.doc_tokens) == (at, len(ids))
+            assert row.ids_crc32 == zlib.crc32(part.tobytes()) and 0 < row.length <= room
+            at += row.length
+        assert at == len(ids)
+    lengths = []
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= room
+        lengths.append(at)
+    return lengths
+
+
+def test_pieces_hold_the_ids_of_the_tokenizer(spark):
+    draw = random.Random(2)
+    odd = ["", "don't", "A$$$", "naïve", "<|endoftext|>x", "a\x01b", "\x01", "x y", "9kg", "İ", "Σας", "é", "日本", "\x1c", "tab\tnew\nline\r"]
+    texts = {n: " ".join(draw.choices(odd, k=n % 40)) for n in range(120)}
+    texts |= {500: "", 501: None, 502: "word " * 3000, 503: "x" * 5000}
+    docs = spark.createDataFrame([(n, t, "g", 1) for n, t in texts.items()], SCHEMA)
+    lengths = checked(pack(docs, PATH, max_tokens=64, group_tokens=2000), texts, 64)
+    assert sum(lengths) / (64 * len(lengths)) > 0.9
+    whole = pack(docs, PATH, with_ids=True).collect()
+    assert all(row.ids[-1] == 2 for row in whole if row.start + row.length == row.doc_tokens)
+
+
+def test_long_texts_are_taken_in_parts(spark, monkeypatch):
+    import tallyloom.llm.packing as packing
+
+    encode = packing.WordIds(PATH)
+    text = "some words, and more\nlines " * 50 + "y" * 300
+    whole = next(packing.token_ids([text], encode)).tolist()
+    monkeypatch.setattr(packing, "PART_CHARS", 40)
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 3)
+    found = [ids.tolist() for ids in packing.token_ids([text, "", None, text], encode)]
+    assert found == [whole, [], [], whole]
+
+
+def test_repeated_rows_no_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], SCHEMA.split(", group")[0])
+    rows = pack(docs, PATH).collect()
+    assert sorted((row.doc_id or 0, row.length) for row in rows) == [(0, 1), (0, 2), (1, 3), (1, 3)]
+    assert pack(docs.limit(0), PATH).isEmpty()
