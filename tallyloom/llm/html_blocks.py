@@ -79,7 +79,7 @@ class _Page:
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.link_chars = 0
-        self.around: list[_Element] = []
+        self.around: list[_Element] | None = None
 
     def text(self, raw: str) -> None:
         if self.hidden or not raw:
@@ -89,20 +89,20 @@ class _Page:
         if raw.isspace():
             self.parts.append(" ")
             return
-        if not self.around:
+        if self.around is None:
             self.around = list(self.open)
         self.parts.append(raw)
         if any(element.tag == "a" for element in self.open):
             self.link_chars += len(raw)
 
     def flush(self) -> None:
-        if self.around:
+        if self.around is not None:
             text = " ".join("".join(self.parts).split())
             if text:
                 words = frozenset().union(*(element.words for element in self.around))
                 tags = tuple(element.tag for element in self.around)
                 self.blocks.append(Block(text, tags, words, min(self.link_chars, len(text))))
-        self.parts, self.link_chars, self.around = [], 0, []
+        self.parts, self.link_chars, self.around = [], 0, None
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
