@@ -211,7 +211,7 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
 
     def paragraphs(mark: str, low: int, high: int) -> str:
         return "".join(
-            f"<p>{mark}{sentences(1, 5) if draw.random() < 0.8 else words(1, 12)}</p>"
+            f"<p>{mark}{sentences(1, draw.choice((1, 5, 20))) if draw.random() < 0.8 else words(1, 12)}</p>"
             for _ in range(draw.randint(low, high))
         )
 
@@ -236,7 +236,7 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
             boilerplate("menu"), boilerplate("head"), boilerplate("advert"), boilerplate("notice"),
             f"<aside>{paragraphs('', 1, 2)}</aside>", boilerplate("side"),
         ]
-        return "".join(draw.sample(parts, draw.randint(1, 4)))
+        return "".join(draw.sample(parts, draw.choice((0, 1, 2, 3, 4))))
 
     def after() -> str:
         parts = [
@@ -247,7 +247,7 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
             boilerplate("side"), boilerplate("foot"), boilerplate("share"), boilerplate("notice"),
             boilerplate("advert"), boilerplate("form"), comments(), comments(),
         ]
-        return "".join(draw.sample(parts, draw.randint(1, 5)))
+        return "".join(draw.sample(parts, draw.choice((0, 1, 2, 3, 4, 5))))
 
     def within() -> str:
         parts = [
@@ -259,6 +259,8 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
 
     def content() -> str:
         pieces = []
+        if draw.random() < 0.1:
+            return paragraphs(_MARK, 1, 1)
         for _ in range(draw.randint(1, 4)):
             kind = draw.random()
             if kind < 0.6:
