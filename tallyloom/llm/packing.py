@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ END_ID = 2
 #: Expected tokens per group: about a thousand sequences.
 GROUP_TOKENS = 4_000_000
 #: Characters of text tokenised at once; longer texts are taken in parts.
-PART_CHARS = 4_000_000
-#: Words a worker remembers; when full, it starts afresh.
-REMEMBERED_WORDS = 1_000_000
+PART_CHARS = 2_000_000
+#: Words a worker remembers, some 200 bytes each; when full, it starts afresh.
+REMEMBERED_WORDS = 300_000
+#: Rows of a batch whose texts are Python strings at one time.
+_ROWS = 256
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _MARK = "\x01"
@@ -119,7 +121,12 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def token_ids(texts: list[str | None], encode: WordIds) -> Iterator[np.ndarray]:
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    for at in range(0, len(column), _ROWS):
+        yield from column.slice(at, _ROWS).to_pylist()
+
+
+def token_ids(texts: Iterable[str | None], encode: WordIds) -> Iterator[np.ndarray]:
     """Ids of each text, some million characters at a time."""
     waiting: list[str] = []
     lasts: list[bool] = []
@@ -158,7 +165,7 @@ def _cutter(
             doc_ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
             kept: list[np.ndarray] = []
-            for doc_id, ids in zip(doc_ids, token_ids(batch.column(1).to_pylist(), encode)):
+            for doc_id, ids in zip(doc_ids, token_ids(_texts(batch.column(1)), encode)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), max_tokens):
                     piece = ids[start : start + max_tokens]
