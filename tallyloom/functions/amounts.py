@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,58 +20,10 @@ LINE_AMOUNT = "decimal(28,12)"
 TOTAL_AMOUNT = "decimal(38,12)"
 SHOWN_MONEY = "decimal(28,6)"
 
-_PICO = Decimal("1e-12")
-_LIMB = 2**20
-
-
-def _picos(amount: Column) -> Column:
-    """The amount as a whole number of 1e-12, or NULL if that might not be exact.
-
-    A double with at most 15 significant digits is the one nearest to that
-    decimal and to no other of 15 digits. So if dividing the rounded number of
-    units gives the double back, the number of units is what the double stands
-    for. Small amounts are tried in units of 1e-12, larger ones in 1e-6.
-    """
-    picos, micros = F.rint(amount * 1e12), F.rint(amount * 1e6)
-    return F.when(
-        F.abs(amount) < 1e3, F.when(picos / 1e12 == amount, picos.cast("long"))
-    ).when(
-        F.abs(amount) < 1e6,
-        F.when(micros / 1e6 == amount, micros.cast("long") * 1_000_000),
-    )
-
-
-def _limbs_as_decimal(high: Column, middle: Column, low: Column) -> Column:
-    """Totals of 20-bit limbs put together; by longs alone if they fit."""
-    middle = middle + F.shiftright(low, 20)
-    high = high + F.shiftright(middle, 20)
-    below = middle.bitwiseAND(_LIMB - 1) * _LIMB + low.bitwiseAND(_LIMB - 1)
-    fits = (high * _LIMB**2 + below).cast("decimal(18,0)") * F.lit(_PICO)
-    large = high.cast("decimal(19,0)") * F.lit(_LIMB**2 * _PICO) + below.cast(
-        "decimal(13,0)"
-    ) * F.lit(_PICO)
-    return F.when(F.abs(high) < 900_000, fits).otherwise(large)
-
 
 def exact_sum(amount: Column) -> Column:
-    """Same total as ``sum(cast(amount as decimal(28,12)))`` in about half its time.
-
-    Turning doubles into decimals and adding these takes longer than all the rest
-    of a grouping. Nearly all amounts are a whole number of
-    1e-12 below 2**60, and are added as longs, in three limbs of 20 bits, so that
-    no group with fewer than 2**43 lines can overflow. Only the other amounts
-    (over a million, or with more than 15 digits) are added as decimals.
-    """
-    picos = _picos(amount)
-    whole = _limbs_as_decimal(
-        F.sum(F.shiftright(picos, 40)),
-        F.sum(F.shiftright(picos, 20).bitwiseAND(_LIMB - 1)),
-        F.sum(picos.bitwiseAND(_LIMB - 1)),
-    )
-    rest = F.sum(F.when(picos.isNull(), amount.cast(LINE_AMOUNT)))
-    both = whole + rest.cast("decimal(36,12)")
-    total = F.when(rest.isNull(), whole).when(whole.isNull(), rest).otherwise(both)
-    return total.cast(TOTAL_AMOUNT)
+    """Sum of decimals, the same in any order and on any number of tasks."""
+    return F.sum(amount.cast(LINE_AMOUNT)).cast(TOTAL_AMOUNT)
 
 
 def as_usd(total: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Exact sums: equal to plain decimal sums, whatever the amounts and their order."""
+"""Exact sums: equal to decimal arithmetic, whatever the amounts and their order."""
 
 from decimal import ROUND_HALF_UP, Context, Decimal
 
@@ -54,11 +54,11 @@ def test_matches_plain_decimal_cast_on_a_table(spark):
         .alias("a"),
     )
     result = frame.groupBy(F.col("id") % 7).agg(
-        exact_sum(F.col("a")).alias("fast"),
+        exact_sum(F.col("a")).alias("exact"),
         F.sum(F.col("a").cast("decimal(28,12)")).alias("plain"),
     )
-    assert result.schema["fast"].dataType == result.schema["plain"].dataType
-    assert all(row.fast == row.plain for row in result.collect())
+    assert result.schema["exact"].dataType == result.schema["plain"].dataType
+    assert all(row.exact == row.plain for row in result.collect())
 
 
 def test_many_tiny_charges_do_not_vanish(spark):
