@@ -111,14 +111,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("item_id", words_of("text").alias("item"))
         .withColumn("item_template", F.transform("item", template_word))
     )
+    in_window = F.slice("item_template", F.col("item_pos") + 1, WIDTH)
     of_items = stored(
         _exploded(items, ["item_id", "item_template"], F.col("item_template"), "item_pos")
         .withColumn(
             "plain",
-            F.size(
-                F.filter(F.slice("item_template", F.col("item_pos") + 1, WIDTH), lambda w: ~_is_slot(w))
-            )
-            >= LITERALS,
+            F.size(F.filter(in_window, lambda word: ~_is_slot(word))) >= LITERALS,
         )
         .drop("item_template")
     )
@@ -201,3 +199,57 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     )
     return found.drop("text_hash")
+
+
+_SQL_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{M}\p{N}]+'),
+    lambda x: x <> '')"""
+_SQL_TEMPLATE = rf"""list_transform(words, lambda x: CASE
+    WHEN regexp_matches(x, '^\p{{N}}') THEN '{NUMBER}'
+    WHEN list_contains([{", ".join(f"'{unit}'" for unit in UNITS)}], lower(x)) THEN '{UNIT}'
+    WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '{NAME}' ELSE lower(x) END)"""
+OP5_SQL = f"""
+WITH items AS (
+  SELECT *, {_SQL_TEMPLATE} AS template FROM (
+    SELECT min(item_id) AS item_id, {_SQL_WORDS} AS words FROM benchmark GROUP BY text)
+), docs AS (
+  SELECT *, {_SQL_TEMPLATE} AS template FROM (SELECT doc_id, {_SQL_WORDS} AS words FROM documents)
+), of_items AS (
+  SELECT item_id, item_pos, template[item_pos + 1 : item_pos + {WIDTH}] AS likeness,
+         list_transform(words[item_pos + 1 : item_pos + {WIDTH}], lambda x: lower(x)) AS plain
+  FROM (SELECT *, unnest(range(len(words) - {WIDTH - 1})) AS item_pos FROM items)
+), of_docs AS (
+  SELECT doc_id, pos, template[pos + 1 : pos + {WIDTH}] AS likeness,
+         list_transform(words[pos + 1 : pos + {WIDTH}], lambda x: lower(x)) AS plain
+  FROM (SELECT *, unnest(range(len(words) - {WIDTH - 1})) AS pos FROM docs)
+), typed AS (
+  SELECT *, len(list_filter(likeness, lambda x: NOT starts_with(x, '0'))) >= {LITERALS} AS literal
+  FROM of_items
+), met AS (
+  SELECT doc_id, item_id, pos - item_pos AS shift, item_pos
+  FROM of_docs d JOIN typed i ON d.likeness = i.likeness AND literal
+  UNION ALL
+  SELECT doc_id, item_id, pos - item_pos, item_pos
+  FROM of_docs d JOIN typed i ON d.plain = i.plain AND NOT literal
+), covered AS (
+  SELECT DISTINCT doc_id, item_id, shift,
+         unnest(range(item_pos, item_pos + {WIDTH})) AS at_word
+  FROM met
+), slots AS (
+  SELECT doc_id, item_id, shift, lower(i.words[at_word + 1]) AS ours,
+         lower(d.words[at_word + shift + 1]) AS theirs
+  FROM covered JOIN items i USING (item_id) JOIN docs d USING (doc_id)
+  WHERE starts_with(i.template[at_word + 1], '0')
+), of_shift AS (
+  SELECT doc_id, item_id, shift, count(*) AS slots, bool_or(ours <> theirs) AS changed,
+         count(DISTINCT ours) = count(DISTINCT (ours, theirs))
+           AND count(DISTINCT theirs) = count(DISTINCT (ours, theirs)) AS consistent
+  FROM slots GROUP BY 1, 2, 3
+)
+SELECT doc_id, item_id, CAST(count(DISTINCT at_word) AS INTEGER) AS matched_words,
+       CAST(any_value(len(i.words)) AS INTEGER) AS item_words,
+       CAST(max(coalesce(slots, 0)) AS INTEGER) AS slots,
+       bool_or(coalesce(changed, false)) AS reparameterised
+FROM covered LEFT JOIN of_shift USING (doc_id, item_id, shift) JOIN items i USING (item_id)
+WHERE coalesce(consistent, true)
+GROUP BY doc_id, item_id
+HAVING matched_words >= {MIN_WORDS} OR matched_words >= {MIN_SHARE} * item_words"""

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm.decontamination import op5_decontamination
+from tallyloom.llm.decontamination import OP5_SQL, op5_decontamination
 from tallyloom.llm.html_extract import op7_html_extract
 from tallyloom.llm.language_id import op4_language_id
 from tallyloom.llm.licenses import op2_licenses
@@ -53,4 +53,8 @@ _QUERIES: dict[str, Query] = {
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {
+        "op3_topk": OP3_SQL,
+        "op5_decontamination": OP5_SQL,
+        "op9_line_dedup": OP9_SQL,
+    }
