@@ -14,7 +14,9 @@ INLINE = frozenset(
 )
 #: Their content is never text of the page.
 RAW = frozenset("script style title textarea noscript noembed noframes iframe xmp".split())
-DROPPED = frozenset("head template svg math object audio video canvas select button datalist".split())
+DROPPED = frozenset(
+    "head template svg math object audio video canvas select button datalist".split()
+)
 #: A start tag that ends an open element of the same kind, not looking past the others.
 CLOSES = {
     "p": ({"p"}, set()),

@@ -36,12 +36,15 @@ TAGS = (
     "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "ul",
 )
 WORDS = {
-    "advert": "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner",
+    "advert": "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored"
+    " promo promotion banner",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc",
-    "side": "sidebar side widget widgets related recommended recommendations trending popular complementary",
+    "side": "sidebar side widget widgets related recommended recommendations trending popular"
+    " complementary",
     "foot": "footer foot copyright legal bottom contentinfo colophon",
     "head": "header masthead topbar top logo branding",
-    "notice": "cookie cookies consent gdpr notice popup modal alert overlay dialog toast newsletter subscribe signup paywall",
+    "notice": "cookie cookies consent gdpr notice popup modal alert overlay dialog toast"
+    " newsletter subscribe signup paywall",
     "comment": "comment comments reply replies respond discussion disqus feedback",
     "share": "share sharing social follow",
     "form": "form login search register",
@@ -211,14 +214,24 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
 
     def paragraphs(mark: str, low: int, high: int) -> str:
         return "".join(
-            f"<p>{mark}{sentences(1, draw.choice((1, 5, 20))) if draw.random() < 0.8 else words(1, 12)}</p>"
+            f"<p>{mark}{some}</p>"
             for _ in range(draw.randint(low, high))
+            for some in [
+                sentences(1, draw.choice((1, 5, 20))) if draw.random() < 0.8 else words(1, 12)
+            ]
         )
 
     def boilerplate(kind: str) -> str:
         name = draw.choice(WORDS[kind].split())
         key = draw.choice(("class", "id"))
-        inner = draw.choice((sentences(1, 2), f"<p>{sentences(1, 3)}</p>", f"<ul>{links(2, 6)}</ul>", words(1, 6)))
+        inner = draw.choice(
+            (
+                sentences(1, 2),
+                f"<p>{sentences(1, 3)}</p>",
+                f"<ul>{links(2, 6)}</ul>",
+                words(1, 6),
+            )
+        )
         return f'<div {key}="{name}">{inner}</div>'
 
     def comments() -> str:
@@ -226,7 +239,9 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
             f'<div class="comment"><b>{words(1, 2)}</b><p>{sentences(1, 3)}</p></div>'
             for _ in range(draw.randint(1, 5))
         )
-        return f'<{(tag := draw.choice(("section", "div")))} {draw.choice(("class", "id"))}="{draw.choice(("comments", "discussion", "replies"))}"><h3>{words(1, 2)}</h3>{body}</{tag}>'
+        tag, key = draw.choice(("section", "div")), draw.choice(("class", "id"))
+        name = draw.choice(("comments", "discussion", "replies"))
+        return f'<{tag} {key}="{name}"><h3>{words(1, 2)}</h3>{body}</{tag}>'
 
     def before() -> str:
         parts = [
@@ -268,13 +283,15 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
             elif kind < 0.7:
                 pieces.append(f"<h2>{_MARK}{words(1, 6)}</h2>{paragraphs(_MARK, 1, 2)}")
             elif kind < 0.8:
-                pieces.append("<ul>" + "".join(f"<li>{_MARK}{words(1, 14)}</li>" for _ in range(draw.randint(2, 5))) + "</ul>")
+                items = (f"<li>{_MARK}{words(1, 14)}</li>" for _ in range(draw.randint(2, 5)))
+                pieces.append(f"<ul>{''.join(items)}</ul>")
             elif kind < 0.85:
                 pieces.append(f"<blockquote>{_MARK}{sentences(1, 2)}</blockquote>")
             elif kind < 0.9:
                 pieces.append(f"<pre>{_MARK}{words(2, 12)}</pre>")
             else:
-                pieces.append(f"<table><tr><td>{_MARK}{words(1, 4)}</td><td>{_MARK}{words(1, 4)}</td></tr></table>")
+                cells = (f"<td>{_MARK}{words(1, 4)}</td>" for _ in range(2))
+                pieces.append(f"<table><tr>{''.join(cells)}</tr></table>")
             pieces.append(within())
         return "".join(pieces)
 
@@ -291,7 +308,8 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
                 ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("", ""),
             )
         )
-        pages.append(f"<html><body>{before()}{left}{title}{content()}{right}{after()}</body></html>")
+        main = f"{left}{title}{content()}{right}"
+        pages.append(f"<html><body>{before()}{main}{after()}</body></html>")
     return pages
 
 

@@ -41,7 +41,9 @@ SMOOTHING = 20.0
 MIN_POSTERIOR = 0.5
 
 # Address suffixes that stand for one of the languages.
-SUFFIX_LANGUAGE = {"de": "de", "at": "de", "es": "es", "mx": "es", "fr": "fr", "uk": "en", "us": "en"}
+SUFFIX_LANGUAGE = {
+    "de": "de", "at": "de", "es": "es", "mx": "es", "fr": "fr", "uk": "en", "us": "en",
+}
 
 
 def _triples(data: bytes) -> np.ndarray:
@@ -92,9 +94,9 @@ def _counts(
                     _triples(text.encode()), minlength=BUCKETS
                 )
         at, bucket = np.nonzero(found)
+        columns = (at.astype(np.int32), bucket.astype(np.int32), found[at, bucket])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(found[at, bucket])],
-            ["language", "bucket", "n"],
+            [pa.array(column) for column in columns], ["language", "bucket", "n"]
         )
 
     return count
@@ -107,12 +109,14 @@ def train_text_model(
 ) -> TextModel:
     """Learn from ``lang`` and ``text``; rows of other languages are left out.
 
-    The sample has about ``training_texts`` of each language. Of a language with no sample every triple
-    is equally likely. What comes to the driver has ``BUCKETS`` rows per language.
+    The sample has about ``training_texts`` of each language. Of a language with no
+    sample every triple is equally likely. What comes to the driver has ``BUCKETS``
+    rows per language.
     """
     names = tuple(languages)
     known = labelled.where(F.col("lang").isin(*names) & F.col("text").isNotNull())
-    texts = {row.lang: row.texts for row in known.groupBy("lang").agg(F.count("*").alias("texts")).collect()}
+    sizes = known.groupBy("lang").agg(F.count("*").alias("texts")).collect()
+    texts = {row.lang: row.texts for row in sizes}
     share = F.lit(0.0)
     for name, number in texts.items():
         share = F.when(F.col("lang") == name, min(1.0, training_texts / number)).otherwise(share)
@@ -131,7 +135,10 @@ def train_text_model(
 
 
 def _reader(
-    model: TextModel, text: str, keep: Sequence[str] | None, to_text: Callable[[bytes], bytes] | None
+    model: TextModel,
+    text: str,
+    keep: Sequence[str] | None,
+    to_text: Callable[[bytes], bytes] | None,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the evidence of the text in column ``row``; keeps some fields of it, or all."""
 
@@ -261,7 +268,7 @@ def identify(
         if fields is not None:
             row = T.StructType([row[name] for name in fields])
         schema = T.StructType([T.StructField("row", row), *plain.schema.fields[1:]])
-        schema = schema.add("_of_text", T.ArrayType(T.DoubleType())).add("_explained", T.BooleanType())
+        schema.add("_of_text", T.ArrayType(T.DoubleType())).add("_explained", T.BooleanType())
         return plain.mapInArrow(_reader(model, text, fields, to_text), schema)
 
     read = evidence(keep) if keep is None else stored(evidence(keep))

@@ -137,7 +137,9 @@ RULES = (
 HINTS = ("licen", "permi", "redistrib", "copyright", "public domain", "free software", "rights")
 
 _KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
-_LINE_MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|\"\"\"|\(?[a-z0-9]\)|[0-9]\.)?[ \t]*", re.I | re.M)
+_LINE_MARKS = re.compile(
+    r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|\"\"\"|\(?[a-z0-9]\)|[0-9]\.)?[ \t]*", re.I | re.M
+)
 _LINE_ENDS = re.compile(r"[ \t]*(?:\*+/|-->|\"\"\")?[ \t]*$", re.M)
 _VERSION = re.compile(r"(?<![\w.])v?([0-9]+(?:\.[0-9]+)*)(?![\w])")
 #: A sentence ends at such a mark before a blank, or at an empty line.

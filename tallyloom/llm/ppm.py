@@ -350,7 +350,8 @@ def _trie(counts: DataFrame, order: int) -> list[DataFrame]:
         )
         nodes.append(stored(_nodes(level)))
     nodes.reverse()
-    linked = [nodes[0].withColumns({"rest": F.lit(None).cast("long"), "rest_kinds": F.lit(None).cast("long")})]
+    nothing = F.lit(None).cast("long")
+    linked = [nodes[0].withColumns({"rest": nothing, "rest_kinds": nothing})]
     for length in range(1, order + 1):
         shorter = nodes[length - 1].select(
             F.col("context").alias("suffix"),
@@ -360,7 +361,9 @@ def _trie(counts: DataFrame, order: int) -> list[DataFrame]:
         )
         own = nodes[length].withColumn("suffix", _last_bytes("context", length - 1))
         excluded = F.aggregate(
-            F.map_keys("seen"), F.lit(0).cast("long"), lambda sum_, byte: sum_ + F.col("below")[byte]
+            F.map_keys("seen"),
+            F.lit(0).cast("long"),
+            lambda so_far, byte: so_far + F.col("below")[byte],
         )
         kinds = F.col("below_kinds") - F.col("kinds")
         linked.append(

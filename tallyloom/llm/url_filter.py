@@ -135,14 +135,15 @@ class UrlModel:
         the only label known, or 0.
         """
         order = (F.xxhash64("url"), F.col("url"), F.col("blocked"))
-        drawn = labelled.select("url", "host", "path", F.col("blocked").cast("double").alias("blocked"))
+        blocked = F.col("blocked").cast("double").alias("blocked")
+        drawn = labelled.select("url", "host", "path", blocked)
         sample = stored(drawn.orderBy(*order).limit(training_urls).withColumns(_suffix_columns()))
         known = sample.agg(F.avg("blocked"), F.count("*")).first()
         self.share = known[0] or 0.0
         self.suffixes = {name: self._statistics(sample, name) for name in _SUFFIXES}
+        of_suffixes = [f"{name}_{kind}" for name in _SUFFIXES for kind in ("share", "known")]
         self.assembler = VectorAssembler(
-            inputCols=[*_features(), *(f"{n}_{kind}" for n in _SUFFIXES for kind in ("share", "known"))],
-            outputCol="features",
+            inputCols=[*_features(), *of_suffixes], outputCol="features"
         )
         self.trees: GBTClassificationModel | None = None
         if 0 < self.share < 1:
