@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.common import found_by_workers
 from tallyloom.llm.decontamination import OP5_SQL, op5_decontamination
 from tallyloom.llm.html_extract import op7_html_extract
 from tallyloom.llm.language_id import op4_language_id
@@ -20,22 +20,19 @@ from tallyloom.llm.topk import OP3_SQL, op3_topk
 from tallyloom.llm.url_filter import op6_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
-_HOME = str(Path(__file__).resolve().parents[2])
 
 
-def _found_by_workers(query: Query) -> Query:
-    """Python workers of a local session look for the package where this one lies."""
-
+def _ready(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.sparkContext.environment.setdefault("PYTHONPATH", _HOME)
+        found_by_workers(spark)
         return query(spark, sf_dir)
 
     return run
 
 
 def llm_queries() -> dict[str, Query]:
-    return {name: _found_by_workers(query) for name, query in _QUERIES.items()}
+    return {name: _ready(query) for name, query in _QUERIES.items()}
 
 
 _QUERIES: dict[str, Query] = {
