@@ -111,7 +111,9 @@ def link_fingerprints(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     them in pairs; the members of larger ones are linked by flipped bits, which
     needs 65 rows for each, however many there are.
     """
-    signatures = _signatures(prints)
+    # Each fingerprint becomes 64 rows: small partitions must not be merged before.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signatures = _signatures(prints.repartition(tasks, "fp"))
     shared = stored(
         signatures.groupBy("signature")
         .agg(F.count("*").alias("members"), F.min("fp").alias("a"), F.max("fp").alias("b"))
