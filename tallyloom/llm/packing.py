@@ -27,7 +27,7 @@ GROUP_TOKENS = 4_000_000
 #: Characters of text tokenised at once; longer texts are taken in parts.
 PART_CHARS = 2_000_000
 #: Words a worker remembers, some 200 bytes each; when full, it starts afresh.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 #: Rows of a batch whose texts are Python strings at one time.
 _ROWS = 256
 
