@@ -36,13 +36,13 @@ CROWD = 64
 _AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of a UTF-8 text over shingles of ``words`` words, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the shingles of ``words`` words of a UTF-8 text, in order."""
     import xxhash
 
     found = text.lower().split()  # of bytes: A-Z, and the six ASCII blanks
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(found)
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     begins = [0, *(blanks + 1).tolist()]
@@ -51,7 +51,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     spans = zip(begins[: len(found) - width + 1], ends[width - 1 :])
     digest = xxhash.xxh64_intdigest
     total = len(found) - width + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8", total)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8", total)
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """SimHash of a UTF-8 text over shingles of ``words`` words, repeats included."""
+    hashes = shingle_hashes(text, words)
+    total = len(hashes)
+    if not total:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, total, _AT_ONCE):
         some = hashes[at : at + _AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -171,7 +179,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     It is the one with the smallest doc_id, then the smallest hash of its text;
     of rows that agree in both, one. Columns are those given.
     """
-    groups = near_duplicates(docs)
+    return keep_first(docs, near_duplicates(docs))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One document for each ``root`` of ``groups``, chosen as in ``keep_one``."""
     # Copies meet in their root: the minimum is taken in each task first.
     chosen = stored(
         groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
