@@ -8,6 +8,9 @@ the benchmark must stand for it everywhere, and for no other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +41,25 @@ UNITS = (
 NUMBER, UNIT, NAME = "0n", "0u", "0a"
 
 
-def words_of(text: str) -> Column:
+def words_of(text: str | Column) -> Column:
     """Runs of letters, marks and digits, in order."""
-    cut = F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{M}\p{N}]+")
+    cut = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}]+")
     return F.filter(cut, lambda word: word != "")
 
 
+#: A number with its separators, a run of name words, or any other word.
+_TOKEN = (
+    r"\p{N}[\p{L}\p{M}\p{N}]*(?:[.,]\p{N}[\p{L}\p{M}\p{N}]*)*"
+    r"|\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*(?:(?:\s+|[-'’])\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*)*"
+    r"|[\p{L}\p{M}\p{N}]+"
+)
+
+
+def tokens_of(text: str | Column) -> Column:
+    """The words, where those of one number or one run of names are one token."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+
+
 def template_word(word: Column) -> Column:
     """The lower-cased word, or the placeholder of its type.
 
@@ -182,14 +198,156 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return matched.where(enough).drop("_id")
 
 
+def _verbatim(keyed: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``item_id`` and ``found``: word positions of an item in equal windows."""
+
+    def lowered(text: str) -> Column:
+        return F.transform(words_of(text), lambda word: F.lower(word))
+
+    ours = stored(_exploded(items, ["item_id"], lowered("item_text"), "item_pos"))
+    met = _exploded(keyed, keys, lowered("text"), "pos").join(_small(ours), "window")
+    return met.groupBy(*keys, "item_id").agg(
+        F.flatten(
+            F.transform(
+                F.collect_set("item_pos"), lambda at: F.sequence(at, at + (WIDTH - 1))
+            )
+        ).alias("found")
+    )
+
+
+def _by_template(
+    keyed: DataFrame, items: DataFrame, keys: list[str], cut: Callable[[str], Column]
+) -> DataFrame:
+    """As ``_verbatim``, for windows of templates of the tokens that ``cut`` gives.
+
+    In each alignment the token that most often stands for a value of the item is
+    taken for its value; placeholders with another are not found.
+    """
+    ours = stored(
+        items.select("item_id", cut("item_text").alias("item"))
+        .withColumn("template", F.transform("item", template_word))
+        .withColumn("sizes", F.transform("item", lambda token: F.size(words_of(token))))
+    )
+    in_window = F.slice("template", F.col("item_pos") + 1, WIDTH)
+    windows = stored(
+        _exploded(ours, ["item_id", "template"], F.col("template"), "item_pos")
+        .where(F.size(F.filter(in_window, lambda word: ~_is_slot(word))) >= LITERALS)
+        .drop("template")
+    )
+    in_docs = _exploded(keyed, keys, F.transform(cut("text"), template_word), "pos")
+    spans = stored(
+        in_docs.join(_small(windows), "window")
+        .groupBy(*keys, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        .agg(F.collect_set("item_pos").alias("starts"))
+    )
+    wanted = _small(stored(spans.select(*keys).distinct()))
+    of_docs = (
+        keyed.join(wanted, keys, "left_semi")
+        .dropDuplicates(keys)
+        .select(*keys, cut("text").alias("theirs"))
+    )
+    covered = F.array_distinct(
+        F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (WIDTH - 1))))
+    )
+    pairs = F.transform(
+        F.filter("covered", lambda at: _is_slot(F.col("template")[at])),
+        lambda at: F.struct(
+            at.alias("at"),
+            F.lower(F.col("item")[at]).alias("ours"),
+            F.lower(F.col("theirs")[at + F.col("shift")]).alias("theirs"),
+        ),
+    )
+
+    def times(pair: Column) -> Column:
+        same = F.filter(
+            "pairs", lambda p: (p["ours"] == pair["ours"]) & (p["theirs"] == pair["theirs"])
+        )
+        return F.size(same)
+
+    def outvoted(pair: Column) -> Column:
+        def better(other: Column) -> Column:
+            more = times(other) > times(pair)
+            tie = (times(other) == times(pair)) & (other["theirs"] < pair["theirs"])
+            return (
+                (other["ours"] == pair["ours"])
+                & (other["theirs"] != pair["theirs"])
+                & (more | tie)
+            )
+
+        return F.exists("pairs", better)
+
+    before = F.transform(
+        "covered", lambda at: F.aggregate(F.slice("sizes", 1, at), F.lit(0), lambda a, b: a + b)
+    )
+    places = F.transform(
+        F.arrays_zip("covered", "before"),
+        lambda at: F.sequence(at["before"], at["before"] + F.col("sizes")[at["covered"]] - 1),
+    )
+    return (
+        spans.join(of_docs, keys)
+        .join(_small(ours), "item_id")
+        .withColumn("covered", covered)
+        .withColumn("pairs", pairs)
+        .withColumn(
+            "covered",
+            F.array_except("covered", F.transform(F.filter("pairs", outvoted), lambda p: p["at"])),
+        )
+        .withColumn("before", before)
+        .select(*keys, "item_id", F.flatten(places).alias("found"))
+    )
+
+
+def any_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents that hold a benchmark item, in whatever case and with any edited values.
+
+    One row per document and item: ``_id`` (``doc_key``), ``text_hash``, ``item_id``,
+    ``matched_words``, ``item_words``. As ``contamination``, but words count that are
+    found in any of these ways: windows equal word by word but for case; windows of
+    word templates; windows of templates in which a number with its separators and a
+    run of names are one placeholder each. A placeholder that contradicts the others
+    of its alignment is left out, and only it; two values that become one do not
+    contradict each other.
+    """
+    items = stored(
+        benchmark.groupBy(F.coalesce("text", F.lit("")).alias("item_text")).agg(
+            F.min("item_id").alias("item_id")
+        )
+    )
+    keyed = docs.select(doc_key("doc_id").alias("_id"), text_hash("text").alias("text_hash"), "text")
+    keys = ["_id", "text_hash"]
+    ways = [
+        _verbatim(keyed, items, keys),
+        _by_template(keyed, items, keys, words_of),
+        _by_template(keyed, items, keys, tokens_of),
+    ]
+    sizes = _small(stored(items.select("item_id", F.size(words_of("item_text")).alias("item_words"))))
+    matched = (
+        reduce(DataFrame.unionByName, ways)
+        .groupBy(*keys, "item_id")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched_words"))
+        .join(sizes, "item_id")
+    )
+    return matched.where(
+        (F.col("matched_words") >= MIN_WORDS)
+        | (F.col("matched_words") >= MIN_SHARE * F.col("item_words"))
+    )
+
+
+def without_any_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without any item by ``any_contamination``, with the columns given."""
+    found = any_contamination(docs, benchmark).select("_id", "text_hash")
+    return _without(docs, found)
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with the columns given."""
+    found = contamination(docs, benchmark).select(doc_key("doc_id").alias("_id"), "text_hash")
+    return _without(docs, found)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     key, mark = fresh(docs, "_id", "_hash")
-    found = stored(
-        contamination(docs, benchmark)
-        .select(doc_key("doc_id").alias(key), F.col("text_hash").alias(mark))
-        .distinct()
-    )
+    found = stored(rows.toDF(key, mark).distinct())
     keyed = docs.withColumns({key: doc_key("doc_id"), mark: text_hash("text")})
     return keyed.join(_small(found), [key, mark], "left_anti").select(*docs.columns)
 
