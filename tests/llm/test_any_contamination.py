@@ -28,6 +28,21 @@ def test_case_and_numbers_and_names_of_several_words(spark):
     assert found(spark, texts, []) == set() and found(spark, [], [(1, ITEM)]) == set()
 
 
+def test_one_edited_value_does_not_hide_the_rest(spark):
+    item = "The baker makes bread for 40 people each day. The miller brings him flour from a mill near the old river"
+    texts = [
+        (1, item.replace("The miller", "She")), (2, item.replace("The miller", "She then")),
+        (3, TRAIN.replace("if Rome", "if Milan")),  # one name becomes two
+        (4, SHOP.replace(" 3 ", " 5 ").replace(" 4 ", " 5 ")),  # two values become one
+        (5, "The baker makes tea. The miller brings him nothing at all from the old river"),
+    ]
+    assert found(spark, texts, [(1, item), (2, ITEM), (3, SHOP)]) == {(1, 1), (2, 1), (3, 2), (4, 3)}
+    docs = spark.createDataFrame([(*row, "x") for row in texts], "doc_id long, text string, _id string")
+    bench = spark.createDataFrame([(1, item), (2, ITEM), (3, SHOP)], "item_id long, text string")
+    kept = without_any_benchmark(docs, bench)
+    assert kept.columns == docs.columns and [row.doc_id for row in kept.collect()] == [5]
+
+
 def test_the_stage_uses_it(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, ITEM.upper()), (2, "fine")], "doc_id long, text string")
