@@ -133,8 +133,9 @@ RULES = (
     ("Proprietary", ("Reserved",)),
 )
 
-#: Every known sentence holds one of these, so a text without them holds none.
-HINTS = ("licen", "permi", "redistrib", "copyright", "public domain", "free software", "rights")
+#: Every known sentence holds one of these, so a text without them holds none. None
+#: has a blank, since blanks and line ends of a text are not yet normalised.
+HINTS = ("licen", "permi", "redistrib", "copyright", "domain", "software", "rights")
 
 _KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
 _LINE_MARKS = re.compile(
@@ -145,7 +146,8 @@ _VERSION = re.compile(r"(?<![\w.])v?([0-9]+(?:\.[0-9]+)*)(?![\w])")
 #: A sentence ends at such a mark before a blank, or at an empty line.
 _SENTENCE = re.compile(r"[.!?:;]+(?=\s)|\n[ \t]*\n")
 _BLANKS = re.compile(r"\s+")
-_QUOTES = str.maketrans("", "", "\"'`“”‘’«»")
+_QUOTE_MARKS = "\"'`“”‘’«»"
+_QUOTES = str.maketrans("", "", _QUOTE_MARKS)
 
 
 def normalised(sentence: str) -> tuple[str, str]:
@@ -214,14 +216,20 @@ def match_rules(sentences: list[tuple[str, str]]) -> tuple[list[str], list[str]]
     return licences, [name for name, who in zip(names, owner) if who is None]
 
 
+def _hinted(text: str) -> bool:
+    low = text.lower()
+    for mark in _QUOTE_MARKS:
+        low = low.replace(mark, "")
+    return any(hint in low for hint in HINTS)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strings = pa.list_(pa.string())
     for batch in batches:
         rows = []
         for text in batch.column(1):
             text = text.as_py() or ""
-            low = text.lower()
-            ids = sentence_ids(text) if any(hint in low for hint in HINTS) else []
+            ids = sentence_ids(text) if _hinted(text) else []
             rows.append(([name for name, _ in ids], *match_rules(ids)))
         columns = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays(

@@ -68,3 +68,16 @@ def test_unclaimed_sentences_are_told(spark):
     text = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the software."
     row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.licences, row.unclaimed) == ([], ["NoticeKept"])
+
+
+def test_wrapped_public_domain_texts(spark):
+    texts = [
+        "This work is in the public\ndomain.",
+        "# This work is in the public\n#   domain.",
+        "This work is in the  public \t domain.",
+        "This is free and unencumbered software released into the public\n * domain.",
+        "This work is in the public 'do'main.",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in scan_licenses(rows).collect():
+        assert row.licences == ["Public-Domain"], texts[row.doc_id]
