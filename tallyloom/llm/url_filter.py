@@ -14,9 +14,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import let, read_table, stored
+from tallyloom.llm.common import attach, let, read_table, stored
 
-#: At most this many labelled URLs are learned from, taken by the hash of the URL.
+#: The trees are fitted on at most this many different labelled URLs, taken by the
+#: hash of the URL. Suffixes are counted in all labelled rows.
 TRAINING_URLS = 20_000
 TREES = 12
 DEPTH = 4
@@ -126,7 +127,7 @@ def _suffix_columns() -> dict[str, Column]:
 
 
 class UrlModel:
-    """The trees, and the suffix statistics of the URLs they were trained on."""
+    """The trees, and the suffix statistics of all labelled URLs."""
 
     def __init__(self, labelled: DataFrame, training_urls: int = TRAINING_URLS) -> None:
         """Learn from ``url``, ``host``, ``path`` and ``blocked`` (0 or 1).
@@ -134,38 +135,47 @@ class UrlModel:
         Without labelled URLs of both kinds there are no trees, and every URL has
         the only label known, or 0.
         """
-        order = (F.xxhash64("url"), F.col("url"), F.col("blocked"))
         blocked = F.col("blocked").cast("double").alias("blocked")
-        drawn = labelled.select("url", "host", "path", blocked)
-        sample = stored(drawn.orderBy(*order).limit(training_urls).withColumns(_suffix_columns()))
-        known = sample.agg(F.avg("blocked"), F.count("*")).first()
+        rows = labelled.where("blocked IS NOT NULL").select("url", "host", "path", blocked)
+        counts = stored(
+            rows.withColumns(_suffix_columns())
+            .groupBy(*_SUFFIXES)
+            .agg(F.sum("blocked").alias("blocked"), F.count("*").alias("rows"))
+        )
+        known = counts.agg(F.sum("blocked") / F.sum("rows")).first()
         self.share = known[0] or 0.0
-        self.suffixes = {name: self._statistics(sample, name) for name in _SUFFIXES}
+        self.suffixes = {name: self._statistics(counts, name) for name in _SUFFIXES}
+        # One row per URL, with its more frequent label.
+        label = (F.avg("blocked") >= 0.5).cast("double").alias("blocked")
+        drawn = rows.groupBy("url", "host", "path").agg(label)
+        drawn = drawn.orderBy(F.xxhash64("url"), "url").limit(training_urls)
+        sample = stored(drawn.withColumns(_suffix_columns()))
+        kinds = sample.agg(F.min("blocked"), F.max("blocked")).first()
         of_suffixes = [f"{name}_{kind}" for name in _SUFFIXES for kind in ("share", "known")]
         self.assembler = VectorAssembler(
             inputCols=[*_features(), *of_suffixes], outputCol="features"
         )
         self.trees: GBTClassificationModel | None = None
-        if 0 < self.share < 1:
+        if tuple(kinds) == (0, 1):
             trainer = GBTClassifier(
                 labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.2
             )
             self.trees = trainer.fit(self._vectors(sample).select("features", "blocked"))
 
-    def _statistics(self, sample: DataFrame, name: str) -> DataFrame:
-        """One row per suffix of the sample: no more than the sample has rows."""
+    def _statistics(self, counts: DataFrame, name: str) -> DataFrame:
+        """One row per suffix of the labelled rows."""
         prior = self.share * SMOOTHING
         return stored(
-            sample.groupBy(name).agg(
-                ((F.sum("blocked") + prior) / (F.count("*") + SMOOTHING)).alias(f"{name}_share"),
-                F.log1p(F.count("*")).alias(f"{name}_known"),
+            counts.groupBy(name).agg(
+                ((F.sum("blocked") + prior) / (F.sum("rows") + SMOOTHING)).alias(f"{name}_share"),
+                F.log1p(F.sum("rows")).alias(f"{name}_known"),
             )
         )
 
     def _vectors(self, urls: DataFrame) -> DataFrame:
         found = urls
         for name, statistics in self.suffixes.items():
-            found = found.join(F.broadcast(statistics), name, "left")
+            found = attach(found, statistics, name, F.xxhash64("url"))
         unseen = {f"{name}_share": self.share for name in _SUFFIXES}
         unseen |= {f"{name}_known": 0.0 for name in _SUFFIXES}
         return self.assembler.transform(found.fillna(unseen).withColumns(_features()))
@@ -190,7 +200,8 @@ def judge_urls(
 
     A NULL URL, or one without ``://``, has an empty host and path, fits no rule
     and is judged like any other. Repeated rows stay; an empty table gives no rows.
-    All work on the pages is row by row: nothing is shuffled, whatever the host.
+    Pages are shuffled only to meet the statistics of a suffix that has too many
+    values to be broadcast, by suffix and salt.
     """
     columns = {"host": host_of("url"), "path": path_of("url")}
     model = UrlModel(labelled.select("url", "blocked").withColumns(columns))

@@ -1,9 +1,10 @@
+import math
 import random
 
 import duckdb
 
 from conftest import SF_DIR
-from tallyloom.llm.url_filter import RULES, judge_urls, op6_url_filter, with_rules
+from tallyloom.llm.url_filter import RULES, UrlModel, judge_urls, op6_url_filter, with_rules
 
 
 def slow_parts(url):
@@ -79,3 +80,18 @@ def test_query(spark):
     for row in found:
         rule, verdict = slow_rule(*slow_parts(row.url))
         assert row.rule == rule and (rule is None or row.verdict == verdict)
+
+
+def test_statistics_take_all_labelled_rows_and_trees_different_urls(spark):
+    parts = [(f"http://h{n % 40}.net/s{n % 7}/{n}", f"h{n % 40}.net", f"/s{n % 7}/{n}", n % 2) for n in range(400)]
+    frame = spark.createDataFrame(parts, "url string, host string, path string, blocked int")
+    first = frame.selectExpr("min_by(struct(*), xxhash64(url)) AS r").select("r.*")
+    often = first.selectExpr("*", "explode(sequence(1, 600)) AS n").drop("n")
+    model = UrlModel(frame.unionAll(often), training_urls=100)
+    assert model.trees is not None
+    by_host = {row.two_labels: row for row in model.suffixes["two_labels"].collect()}
+    top = first.first()
+    assert len(by_host) == 40
+    for name, row in by_host.items():
+        assert round(math.exp(row.two_labels_known)) == 11 + 600 * (name == top.host)
+    assert model.share == (200 + 600 * top.blocked) / 1000
