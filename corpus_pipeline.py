@@ -16,8 +16,8 @@ from tallyloom.llm.common import found_by_workers, read_table, shared_folder
 from tallyloom.llm.decontamination import without_any_benchmark
 from tallyloom.llm.language_id import accepted_documents
 from tallyloom.llm.line_dedup import dedup_lines
-from tallyloom.llm.near_copies import keep_one_similar
 from tallyloom.llm.packing import pack
+from tallyloom.llm.simhash import keep_one
 
 #: SQL has neither the tokenizer nor the language model; see tests/llm.
 ORACLE_SQL = None
@@ -42,8 +42,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group alike in 0.8 or more of shingles of five words."""
-    return keep_one_similar(docs)
+    """Keeps one document of each group whose fingerprints are linked.
+
+    That is, by SimHash: shingles of three words, two bits at most.
+    """
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
