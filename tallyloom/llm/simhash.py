@@ -179,14 +179,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     It is the one with the smallest doc_id, then the smallest hash of its text;
     of rows that agree in both, one. Columns are those given.
     """
-    return keep_first(docs, near_duplicates(docs))
-
-
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One document for each ``root`` of ``groups``, chosen as in ``keep_one``."""
     # Copies meet in their root: the minimum is taken in each task first.
     chosen = stored(
-        groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        near_duplicates(docs)
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     ).select(doc_key("first.doc_id"), "first.text_hash").distinct()
     key, mark = fresh(docs, "_id", "_hash")
     keyed = docs.withColumns({key: doc_key("doc_id"), mark: text_hash("text")})
