@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +27,33 @@ END_ID = 2
 GROUP_TOKENS = 4_000_000
 #: Characters of text tokenised at once; longer texts are taken in parts.
 PART_CHARS = 2_000_000
-#: Words a worker remembers, some 200 bytes each; when full, it starts afresh.
-REMEMBERED_WORDS = 500_000
+#: Words a worker remembers, some 200 bytes each; when full, only those met since
+#: the last time stay.
+REMEMBERED_WORDS = 300_000
 #: Rows of a batch whose texts are Python strings at one time.
 _ROWS = 256
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _MARK = "\x01"
+#: Letters whose lower case is one letter, the same anywhere in a word.
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+_LETTERS = _CAPITALS.lower() + "ßÿ"
+#: Marks of which one may end a word.
+_MARKS = ".,;:!?"
+_PARTED = rf"\A[{_LETTERS}{_CAPITALS}]+[{_MARKS}]?\z"
+_SMALL_LETTERS = rf"\A[{_LETTERS}]+\z"
 
 
 class WordIds:
     """Token ids of words between blanks, asked of the tokenizer once per word.
 
     For tokenizers that drop white space and never look across it: the ids of a
-    text are then those of its words in a row. Words are sent to the tokenizer
-    together, with a mark between them whose id no other word can give.
+    text are then those of its words in a row. Most words are letters, perhaps
+    with one mark after them. Where the tokenizer parts such marks from letters
+    and ignores case, the two are remembered apart, letters in lower case: they
+    are far fewer than words, and go to the tokenizer's model at once. All other
+    words are sent to the tokenizer together, with a mark between them whose id no
+    other word can give.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,30 +64,90 @@ class WordIds:
         self.mark = self._encode(_MARK)
         if len(self.mark) != 1:
             raise ValueError("the tokenizer must give the mark one id")
-        self._forget()
+        self.model = self.tokenizer.model
+        read = self.tokenizer.pre_tokenizer
+        self.spelling = {ord(c): read.pre_tokenize_str(c)[0][0] for c in _LETTERS if read}
+        self.parted = all(
+            self._encode(word + mark) == self._of_letters(word.lower()) + self._encode(mark)
+            for word in (*_LETTERS, *_CAPITALS, f"The{_LETTERS}")
+            for mark in ("", *_MARKS)
+        )
+        self._forget(np.zeros(0, bool))
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.begins = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [word for word in words if _MARK not in word]
-        marked = [word for word in words if _MARK in word]
+    def _of_letters(self, word: str) -> list[int]:
+        """Ids of a word that is nothing but lower-case letters."""
+        spelt = word if word.isascii() else word.translate(self.spelling)
+        return [token.id for token in self.model.tokenize(spelt)]
+
+    def _forget(self, kept: np.ndarray) -> None:
+        """Forgets all words but those marked; the first is the empty one, of no ids."""
+        if not kept.any():
+            self.known: dict[str, int] = {"": 0}
+            self.begins = np.zeros(2, np.int64)
+            self.ids = np.zeros(0, np.uint32)
+        else:
+            kept[0] = True
+            self.known = {
+                word: at for at, word in enumerate(compress(self.known, kept.tolist()))
+            }
+            counts = np.diff(self.begins)
+            self.ids = self.ids[np.repeat(kept, counts)]
+            self.begins = np.concatenate([[0], np.cumsum(counts[kept])])
+        self.met = np.zeros(len(self.known), bool)
+
+    def _learn(self, words: pa.Array) -> None:
+        is_quick = pc.match_substring_regex(words, _SMALL_LETTERS if self.parted else r"\A\z")
+        quick = words.filter(is_quick).to_pylist()
+        whole = words.filter(pc.invert(is_quick)).to_pylist()
+        plain = [word for word in whole if _MARK not in word]
+        marked = [word for word in whole if _MARK in word]
+        found = [self._of_letters(word) for word in quick]
+        counts = [*map(len, found)]
         ids = np.array(self._encode(f" {_MARK} ".join([*plain, ""])), np.uint32)
         ends = np.flatnonzero(ids == self.mark[0])
-        counts = np.diff(ends, prepend=-1) - 1
-        found = [ids[ids != self.mark[0]]]
-        for word in marked:
-            found.append(np.array(self._encode(word), np.uint32))
-            counts = np.append(counts, len(found[-1]))
-        for word in plain + marked:
+        counts.extend((np.diff(ends, prepend=-1) - 1).tolist())
+        rest = [self._encode(word) for word in marked]
+        counts.extend(map(len, rest))
+        for word in chain(quick, plain, marked):
             self.known[word] = len(self.known)
-        self.ids = np.concatenate([self.ids, *found])
+        flat = [np.fromiter(chain.from_iterable(some), np.uint32) for some in (found, rest)]
+        self.ids = np.concatenate([self.ids, flat[0], ids[ids != self.mark[0]], flat[1]])
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts)])
+        self.met = np.concatenate([self.met, np.zeros(len(words), bool)])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the different words is remembered."""
+        names = words.to_pylist()
+        if len(self.known) + len(names) > REMEMBERED_WORDS:
+            # Words met since the last time stay, unless they are too many.
+            self._forget(self.met & (2 * self.met.sum() < REMEMBERED_WORDS))
+        is_new = [name not in self.known for name in names]
+        if any(is_new):
+            self._learn(words.filter(pa.array(is_new)))
+        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.met[at] = True
+        return at
+
+    def _units(self, words: pa.Array) -> np.ndarray:
+        """For each of the different words: places of its letters and of its mark.
+
+        A word of another kind is one unit, the other is the empty one.
+        """
+        is_parted = pc.match_substring_regex(words, _PARTED if self.parted else r"\A\z")
+        letters = pc.utf8_lower(pc.utf8_rtrim(words, _MARKS))
+        bare = pc.if_else(is_parted, letters, words).dictionary_encode()
+        is_marked = pc.and_(is_parted, pc.match_substring_regex(words, f"[{_MARKS}]$"))
+        marks = pc.if_else(is_marked, pc.utf8_slice_codeunits(words, -1), "").dictionary_encode()
+        # Looked up together, so that nothing is forgotten between the two.
+        both = pa.concat_arrays([bare.dictionary, marks.dictionary]).dictionary_encode()
+        at = self._places(both.dictionary)[both.indices.to_numpy()]
+        of_bare, of_marks = np.split(at, [len(bare.dictionary)])
+        return np.stack(
+            [of_bare[bare.indices.to_numpy()], of_marks[marks.indices.to_numpy()]], axis=1
+        )
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends among them."""
@@ -82,19 +155,14 @@ class WordIds:
             texts = pc.replace_substring(texts, blank, " ")
         parts = pc.split_pattern(texts, " ")
         words = parts.flatten().dictionary_encode()
-        vocabulary = words.dictionary.to_pylist()
-        if len(self.known) + len(vocabulary) > REMEMBERED_WORDS:
-            self._forget()
-        if new := [word for word in vocabulary if word not in self.known]:
-            self._learn(new)
-        at = np.array([self.known[word] for word in vocabulary], np.int64)
-        at = at[words.indices.to_numpy(zero_copy_only=False)]
+        of_words = self._units(words.dictionary)
+        at = of_words[words.indices.to_numpy(zero_copy_only=False)].ravel()
         begins = self.begins[at]
         counts = self.begins[at + 1] - begins
         after = np.concatenate([[0], np.cumsum(counts)])
         ids = self.ids[np.repeat(begins - after[:-1], counts) + np.arange(after[-1])]
         word_ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-        return ids, after[word_ends]
+        return ids, after[2 * word_ends]
 
 
 _WORKER_WORDS: dict[str, WordIds] = {}

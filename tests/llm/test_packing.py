@@ -86,3 +86,16 @@ def test_repeated_rows_no_ids_and_empty_tables(spark):
     rows = pack(docs, PATH).collect()
     assert sorted((row.doc_id or 0, row.length) for row in rows) == [(0, 1), (0, 2), (1, 3), (1, 3)]
     assert pack(docs.limit(0), PATH).isEmpty()
+
+
+def test_words_with_letters_apart_from_marks():
+    import tallyloom.llm.packing as packing
+
+    draw = random.Random(6)
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = packing.WordIds(PATH)
+    assert encode.parted
+    units = list("abcDEF.,;:!?'ßÄéÿŸİΣ1́_-") + ["ing", "The", "Öl", "çon"]
+    texts = [" ".join("".join(draw.choices(units, k=draw.randint(1, 5))) for _ in range(60)) for _ in range(80)]
+    found = [ids.tolist() for ids in packing.token_ids(texts, encode)]
+    assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
