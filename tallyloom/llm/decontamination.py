@@ -47,10 +47,11 @@ def words_of(text: str | Column) -> Column:
     return F.filter(cut, lambda word: word != "")
 
 
-#: A number with its separators, a run of name words, or any other word.
+#: A number with its separators, a run of name words, or any other word. Repeated
+#: groups give nothing back, so that a run of any length needs no stack.
 _TOKEN = (
-    r"\p{N}[\p{L}\p{M}\p{N}]*(?:[.,]\p{N}[\p{L}\p{M}\p{N}]*)*"
-    r"|\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*(?:(?:\s+|[-'’])\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*)*"
+    r"\p{N}[\p{L}\p{M}\p{N}]*+(?:[.,]\p{N}[\p{L}\p{M}\p{N}]*+)*+"
+    r"|\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*+(?:(?:\s++|[-'’])\p{Lu}\p{Ll}[\p{L}\p{M}\p{N}]*+)*+"
     r"|[\p{L}\p{M}\p{N}]+"
 )
 

@@ -28,6 +28,11 @@ def test_case_and_numbers_and_names_of_several_words(spark):
     assert found(spark, texts, []) == set() and found(spark, [], [(1, ITEM)]) == set()
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    texts = [(1, "Anna Maria " * 100_000), (2, "1.234," * 100_000), (3, "Anna " * 50_000 + f"says {SHOP}")]
+    assert found(spark, texts, [(1, SHOP)]) == {(3, 1)}
+
+
 def test_one_edited_value_does_not_hide_the_rest(spark):
     item = "The baker makes bread for 40 people each day. The miller brings him flour from a mill near the old river"
     texts = [
