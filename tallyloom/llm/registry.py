@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.chat_windows import op13_chat_format
 from tallyloom.llm.common import found_by_workers
 from tallyloom.llm.decontamination import OP5_SQL, op5_decontamination
 from tallyloom.llm.html_extract import op7_html_extract
@@ -19,6 +20,7 @@ from tallyloom.llm.prefix_trie import op11_prefix_trie
 from tallyloom.llm.simhash import op10_simhash
 from tallyloom.llm.topk import OP3_SQL, op3_topk
 from tallyloom.llm.url_filter import op6_url_filter
+from tallyloom.llm.whitening import op12_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +50,8 @@ _QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_chat_format": op13_chat_format,
 }
 
 

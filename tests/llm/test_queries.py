@@ -9,7 +9,7 @@ from tallyloom.llm.registry import llm_oracle_sql, llm_queries
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(name.split("_")[0].removeprefix("op")) for name in llm_queries())
-    assert numbers == list(range(1, 12))
+    assert numbers == list(range(1, 14))
     assert set(llm_oracle_sql()) <= set(llm_queries())
 
 
