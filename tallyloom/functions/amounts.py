@@ -22,8 +22,16 @@ SHOWN_MONEY = "decimal(28,6)"
 
 
 def exact_sum(amount: Column) -> Column:
-    """Sum of decimals, the same in any order and on any number of tasks."""
-    return F.sum(amount.cast(LINE_AMOUNT)).cast(TOTAL_AMOUNT)
+    """Sum of decimals, the same in any order and on any number of tasks.
+
+    An amount that is no such decimal (NaN, infinite, 1e16 or more) fails the job. A
+    session without ANSI mode would make it NULL, and with it leave it out of every
+    sum alike, so that no comparison of sums could tell.
+    """
+    exact = amount.cast(LINE_AMOUNT)
+    refused = F.raise_error(F.concat(F.lit("cannot be summed: "), amount.cast("string")))
+    lost = exact.isNull() & amount.isNotNull()
+    return F.sum(F.when(lost, refused.cast(LINE_AMOUNT)).otherwise(exact)).cast(TOTAL_AMOUNT)
 
 
 def as_usd(total: Column) -> Column:

@@ -61,3 +61,21 @@ def utc_date(bill: DataFrame, name: str) -> Column:
     if bill.schema[name].dataType == T.TimestampNTZType():
         return F.to_date(moment)
     return F.date_from_unix_date(F.floor(F.unix_seconds(moment) / 86_400).cast("int"))
+
+
+def utc_micros(frame: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 in UTC of a timestamp column, with or without zone."""
+    if frame.schema[name].dataType == T.TimestampNTZType():
+        since = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', {quoted(name)})"
+        return F.expr(since)
+    return F.unix_micros(F.col(quoted(name)))
+
+
+def utc_time(micros: str) -> Column:
+    """Timestamp without zone, in UTC, of microseconds since 1970 (SQL for a long)."""
+    return F.expr(f"timestampadd(MICROSECOND, {micros}, TIMESTAMP_NTZ'1970-01-01')")
+
+
+def steps_of(value: str, width: str) -> Column:
+    """Number of whole steps of a width, rounded down; both are SQL for longs."""
+    return F.expr(f"({value} - pmod({value}, {width})) div {width}")

@@ -21,25 +21,25 @@ def _same_but_for_case(schema: T.StructType) -> dict[str, list[T.StructField]]:
     return {name: fields for name, fields in found.items() if len(fields) > 1}
 
 
-def _instant(value: str, kind: T.DataType) -> str:
+def utc_instant(value: str, kind: T.DataType) -> str:
     """SQL for a value as an instant, in UTC where it names no zone itself.
 
     A cast alone would take values without zone to be of the session's zone, and
-    with it move their days.
+    with it move their days. So they are counted from 1970, as numbers. A text that
+    is blank is no instant.
     """
     if isinstance(kind, T.TimestampNTZType):
-        return f"CAST(CAST({value} AS STRING) || 'Z' AS TIMESTAMP)"
-    midnight = " || ' 00:00:00Z' AS TIMESTAMP)"
+        return f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', {value}))"
     if isinstance(kind, T.DateType):
-        return f"CAST(CAST({value} AS STRING){midnight}"
+        return f"timestamp_seconds(86400L * unix_date({value}))"
     if not isinstance(kind, T.StringType):
         return f"CAST({value} AS TIMESTAMP)"
     # After the date: a zone has a letter or a sign, a time has neither.
-    text = f"trim({value})"
+    text = f"nullif(trim({value}), '')"
     return f"""CASE
         WHEN {text} RLIKE '^[^ T]+[ T].*[A-Za-z+-]' THEN CAST({text} AS TIMESTAMP)
         WHEN {text} RLIKE '[ T]' THEN CAST({text} || 'Z' AS TIMESTAMP)
-        ELSE CAST(CAST(CAST({text} AS DATE) AS STRING){midnight} END"""
+        ELSE timestamp_seconds(86400L * unix_date(CAST({text} AS DATE))) END"""
 
 
 def conform(bill: DataFrame, schema: T.StructType = BILL_SCHEMA) -> DataFrame:
@@ -48,7 +48,7 @@ def conform(bill: DataFrame, schema: T.StructType = BILL_SCHEMA) -> DataFrame:
     For bills read without a schema. Columns which are not declared are left
     out; ``schema_drift`` names them. A value that cannot be cast fails the job
     under ANSI mode rather than turning into NULL. Timestamps and texts without a
-    zone are taken as UTC, whatever the session's zone. Declared columns that are
+    zone are taken as UTC, whatever the session's zone; a blank text is NULL as a time. Declared columns that are
     there twice, their names differing in case only, raise ``ValueError``.
     """
     found = _by_lower_name(bill.schema)
@@ -60,7 +60,7 @@ def conform(bill: DataFrame, schema: T.StructType = BILL_SCHEMA) -> DataFrame:
         source = found.get(field.name.lower())
         value = "NULL" if source is None else quoted(source.name)
         if source is not None and isinstance(field.dataType, T.TimestampType):
-            return f"{_instant(value, source.dataType)} AS {quoted(field.name)}"
+            return f"{utc_instant(value, source.dataType)} AS {quoted(field.name)}"
         return f"CAST({value} AS {field.dataType.simpleString()}) AS {quoted(field.name)}"
 
     return bill.selectExpr(*map(declared, schema))
