@@ -52,6 +52,14 @@ WITH bill AS (
          ELSE 0 END AS reservation_unused_recurring_fee,
     CASE WHEN l_linenumber = 2 AND l_partkey % 2 = 1 THEN l_quantity END
       AS reservation_unused_amortized_upfront_fee_for_billing_period,
+    [CAST(l_orderkey AS BIGINT), l_linenumber, l_partkey, l_suppkey,
+     CAST(ROUND(100 * l_extendedprice) AS BIGINT), CAST(l_quantity AS BIGINT),
+     CAST(strftime(l_shipdate, '%Y%m%d') AS BIGINT)] AS line_id,
+    l_shipdate + to_hours(CAST(l_orderkey % 24 + 1 + l_quantity % 8 AS INT))
+      AS line_item_usage_end_date,
+    CASE WHEN l_linenumber = 4 THEN 'plan/' || (l_partkey % 12) END AS plan,
+    date_trunc('month', l_shipdate) AS plan_start,
+    date_trunc('month', l_shipdate) + to_months(CAST(1 + l_partkey % 3 AS INT)) AS plan_end,
     CASE WHEN l_suppkey % 10 <> 0 THEN map_from_entries(list_filter([
       {'key': 'user_project',
        'value': CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ''
@@ -312,6 +320,185 @@ FROM pairs JOIN whole USING (resource_id)
 GROUP BY resource_id, iam_principal, resource_cost_usd, principals""",
 }
 
+_CUBE = "line_item_product_code, line_item_line_item_type, any_region, any_principal"
+
+
+def _subtotals(grouping: str) -> str:
+    """All subtotals of four dimensions, with the bits of those that are summed over."""
+    return f"""
+SELECT GROUPING({_CUBE}) AS level, line_item_product_code AS service,
+       line_item_line_item_type AS charge_type, any_region AS region,
+       any_principal AS iam_principal, {_usd()} AS cost_usd, COUNT(*) AS lines
+FROM lines GROUP BY {grouping}({_CUBE})"""
+
+
+# Uses of a resource with the latest end of those that began before.
+_USES = """
+, uses AS (
+  SELECT any_resource AS resource_id, line_item_usage_start_date AS use_begin,
+         MAX(line_item_usage_end_date) AS use_end
+  FROM lines WHERE has_resource GROUP BY 1, 2
+), in_order AS (
+  SELECT *, MAX(use_end) OVER (
+    PARTITION BY resource_id ORDER BY use_begin
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM uses
+)"""
+_HOURS = "EPOCH({late}) / 3600 - EPOCH({early}) / 3600"
+
+
+_OVER_TIME = {
+    "cost_by_tag_as_of": f"""
+, tagged AS (
+  SELECT any_resource AS resource_id, line_item_usage_start_date AS tagged_at,
+         MAX(project) AS tag
+  FROM lines WHERE has_resource AND project <> '-' GROUP BY 1, 2
+), found AS (
+  SELECT lines.*, CASE WHEN has_resource THEN tag END AS earlier
+  FROM lines ASOF LEFT JOIN tagged
+  ON any_resource = tagged.resource_id AND line_item_usage_start_date >= tagged_at
+)
+SELECT CASE project WHEN '-' THEN earlier ELSE project END AS tag_value,
+       CASE WHEN project <> '-' THEN 'own' WHEN earlier IS NULL THEN 'none'
+            ELSE 'earlier' END AS tag_from,
+       {_usd()} AS cost_usd, COUNT(*) AS lines
+FROM found GROUP BY 1, 2""",
+    "usage_in_terms": f"""
+, terms AS (
+  SELECT DISTINCT plan, line_item_product_code AS service,
+         line_item_usage_type AS usage_type, plan_start, plan_end
+  FROM lines WHERE plan IS NOT NULL
+)
+SELECT terms.plan AS commitment, service, usage_type, terms.plan_start AS term_start,
+       terms.plan_end AS term_end, {_usd()} AS cost_usd, COUNT(*) AS lines
+FROM lines JOIN terms
+  ON line_item_product_code = service AND line_item_usage_type = usage_type
+ AND line_item_usage_start_date >= terms.plan_start
+ AND line_item_usage_start_date < terms.plan_end
+WHERE line_item_line_item_type IN ('Usage', 'SavingsPlanCoveredUsage')
+GROUP BY ALL""",
+    "subtotals": _subtotals("CUBE"),
+    "subtotals_rolled_up": _subtotals("ROLLUP"),
+    "running_costs": f"""
+, daily AS (
+  SELECT any_resource AS resource_id, CAST(line_item_usage_start_date AS DATE) AS usage_date,
+         SUM(exact_cost) AS cost
+  FROM lines WHERE has_resource GROUP BY 1, 2
+), calendar AS (
+  SELECT resource_id, CAST(UNNEST(generate_series(
+    MIN(usage_date)::TIMESTAMP, MAX(usage_date)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS usage_date
+  FROM daily GROUP BY 1
+), dense AS (
+  SELECT resource_id, usage_date, COALESCE(cost, 0) AS cost
+  FROM calendar LEFT JOIN daily USING (resource_id, usage_date)
+)
+SELECT resource_id, usage_date,
+       CAST(CAST(cost AS DECIMAL(28,6)) AS DOUBLE) AS cost_usd,
+       CAST(CAST(week AS DECIMAL(28,6)) AS DOUBLE) AS cost_7_days_usd,
+       CAST(CAST(month AS DECIMAL(28,6)) AS DOUBLE) AS cost_30_days_usd
+FROM (
+  SELECT *, SUM(cost) OVER (PARTITION BY resource_id ORDER BY usage_date
+              RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS week,
+         SUM(cost) OVER (PARTITION BY resource_id ORDER BY usage_date
+              RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS month
+  FROM dense)""",
+    "month_over_month": """
+, monthly AS (
+  SELECT line_item_product_code AS service, line_item_line_item_type AS charge_type,
+         CAST(billing_period || '-01' AS DATE) AS month, SUM(exact_cost) AS cost
+  FROM lines GROUP BY 1, 2, 3
+), calendar AS (
+  SELECT service, charge_type, CAST(UNNEST(generate_series(
+    MIN(month)::TIMESTAMP, MAX(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM monthly GROUP BY 1, 2
+), dense AS (
+  SELECT c.service, c.charge_type, c.month, COALESCE(cost, 0) AS cost
+  FROM calendar c LEFT JOIN monthly m
+    ON c.service IS NOT DISTINCT FROM m.service
+   AND c.charge_type IS NOT DISTINCT FROM m.charge_type AND c.month = m.month
+), paired AS (
+  SELECT *, LAG(cost) OVER (PARTITION BY service, charge_type ORDER BY month) AS before
+  FROM dense
+), shown AS (
+  SELECT service, charge_type, strftime(month, '%Y-%m') AS billing_period,
+         CAST(CAST(cost AS DECIMAL(28,6)) AS DOUBLE) AS cost_usd,
+         CAST(CAST(before AS DECIMAL(28,6)) AS DOUBLE) AS before_usd,
+         CAST(CAST(cost - before AS DECIMAL(28,6)) AS DOUBLE) AS change_usd
+  FROM paired
+)
+SELECT *, CASE WHEN before_usd <> 0 THEN change_usd / before_usd END AS change_share
+FROM shown""",
+    "usage_spans": _USES
+    + f"""
+, sums AS (
+  SELECT resource_id, MIN(use_begin) AS first_use, MAX(use_end) AS last_use,
+         1 + COUNT(*) FILTER (WHERE use_begin > before) AS spans,
+         COALESCE(SUM(EPOCH(use_begin) - EPOCH(before)) FILTER (WHERE use_begin > before), 0)
+           / 3600 AS hours_idle
+  FROM in_order GROUP BY 1
+)
+SELECT *, {_HOURS.format(late="last_use", early="first_use")} - hours_idle AS hours_used
+FROM sums""",
+    "idle_gaps": _USES
+    + f"""
+SELECT resource_id, before AS idle_from, use_begin AS idle_until,
+       {_HOURS.format(late="use_begin", early="before")} AS idle_hours
+FROM in_order WHERE use_begin > before""",
+}
+_REPORTS.update(_OVER_TIME)
+
+_DELIVERED = """
+, was AS (
+  SELECT line_id, exact_cost AS cost, line_item_line_item_type AS kind FROM lines
+  WHERE line_item_line_item_type <> 'Credit'
+), is_now AS (
+  SELECT line_id, line_item_line_item_type AS kind,
+         CASE line_item_line_item_type
+           WHEN 'DiscountedUsage' THEN CAST(line_item_unblended_cost
+             + line_item_usage_amount AS DECIMAL(28,12)) ELSE exact_cost END AS cost,
+         CASE line_item_line_item_type WHEN 'SavingsPlanRecurringFee' THEN 2 ELSE 1 END AS copies
+  FROM lines WHERE line_item_line_item_type <> 'Tax'
+), moved AS (
+  SELECT CASE WHEN is_now.kind IS NULL THEN 'removed' WHEN was.kind IS NULL THEN 'added'
+              WHEN was.cost <> is_now.cost OR copies > 1 THEN 'changed' ELSE 'same' END AS kind,
+         line_id, was.cost AS old_cost, is_now.cost AS new_cost, copies,
+         was.cost = is_now.cost AS stays
+  FROM was FULL JOIN is_now USING (line_id)
+), parts AS (
+  SELECT kind, line_id, CASE WHEN kind = 'added' OR stays THEN 0 ELSE 1 END AS old_lines,
+         CASE WHEN kind = 'removed' THEN 0 WHEN stays THEN copies - 1 ELSE copies END AS new_lines,
+         old_cost, new_cost
+  FROM moved WHERE kind <> 'same'
+  UNION ALL
+  SELECT 'same', line_id, 1, 1, old_cost, new_cost FROM moved WHERE stays
+)"""
+_STORED = {
+    "refreshed_months": _grouped(
+        {"billing_period": "billing_period", **_SERVICE},
+        {"lines": "COUNT(*)"},
+        f"NOT (billing_period = '{MONTH}' AND line_item_line_item_type = 'Credit')",
+    ),
+    "streamed_cost": _grouped({**_SERVICE, **_TYPE}, {"lines": "COUNT(*)"}),
+    "changes_of_refresh": _DELIVERED
+    + f"""
+SELECT kind, CAST(SUM(old_lines) AS BIGINT) AS old_lines,
+       CAST(SUM(new_lines) AS BIGINT) AS new_lines,
+       {_usd("COALESCE(old_cost, 0) * old_lines")} AS old_cost_usd,
+       {_usd("COALESCE(new_cost, 0) * new_lines")} AS new_cost_usd,
+       {_usd("COALESCE(new_cost, 0) * new_lines - COALESCE(old_cost, 0) * old_lines")}
+         AS difference_usd
+FROM parts GROUP BY 1""",
+    "changed_lines": _DELIVERED
+    + """
+SELECT array_to_string(line_id, '-') AS line_id, kind, CAST(old_lines AS BIGINT) AS old_lines,
+       CAST(new_lines AS BIGINT) AS new_lines,
+       CAST(CAST(COALESCE(old_cost, 0) * old_lines AS DECIMAL(28,6)) AS DOUBLE)
+         AS old_cost,
+       CAST(CAST(COALESCE(new_cost, 0) * new_lines AS DECIMAL(28,6)) AS DOUBLE)
+         AS new_cost
+FROM parts WHERE kind <> 'same'""",
+}
+
 _MISSING_PERIODS = """
 SELECT strftime(month, '%Y-%m') AS billing_period
 FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-06-01', INTERVAL 1 MONTH)
@@ -401,6 +588,8 @@ def all_oracle_sql() -> dict[str, str]:
         "column_profile": _profile_sql(_BILL_TYPES),
         "conformed_profile": _profile_sql(declared),
         "cost_by_service_year": year + _REPORTS["cost_by_service"],
+        "stored_panorama_month": month + _REPORTS["panorama"],
+        **{name: every + text for name, text in _STORED.items()},
     }
     for name, text in _REPORTS.items():
         found[name] = every + text

@@ -96,6 +96,19 @@ _EXPRESSIONS = {
     "tags": f"IF(l_suppkey % 6 <> 0, map_from_entries(concat({_PLAIN_TAGS})), NULL)",
 }
 BILL_COLUMNS = tuple(_EXPRESSIONS)
+# Columns that some reports ask for by name, and the bill has not got otherwise.
+_FEE = "l_linenumber = 4"
+_MORE = {
+    "identity_line_item_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+    " CAST(round(100 * l_extendedprice) AS BIGINT), CAST(l_quantity AS BIGINT),"
+    " date_format(l_shipdate, 'yyyyMMdd'))",
+    "line_item_usage_end_date": "l_shipdate + make_dt_interval(0,"
+    " CAST(l_orderkey % 24 + 1 + l_quantity % 8 AS INT), 0, 0)",
+    "savings_plan_savings_plan_a_r_n": f"IF({_FEE}, 'plan/' || (l_partkey % 12), NULL)",
+    "savings_plan_start_time": f"IF({_FEE}, date_format(l_shipdate, 'yyyy-MM') || '-01T00:00:00Z', NULL)",
+    "savings_plan_end_time": f"IF({_FEE}, date_format(add_months(trunc(l_shipdate, 'MM'),"
+    " CAST(1 + l_partkey % 3 AS INT)), 'yyyy-MM') || '-01 00:00:00', NULL)",
+}
 _OF_ORDERS = {"line_item_iam_principal"}
 _OF_PART = {"line_item_product_code", "line_item_usage_type", "resource_tags"}
 _OF_SUPPLIER = {"product_region_code"}
@@ -122,7 +135,8 @@ def order_bill(
 ) -> DataFrame:
     """The bill over the order tables in ``sf_dir``, with the given columns.
 
-    Only the tables these columns come from are joined. All joins are left joins
+    Only the tables these columns come from are joined; ``_MORE`` are columns besides
+    ``BILL_COLUMNS``, for those who name them. All joins are left joins
     on unique keys, so each line stays exactly once whichever are done. Sides
     are broadcast only where Spark finds them small enough; supplier and nation
     meet first, so that the lines are joined once for both.
@@ -146,4 +160,4 @@ def order_bill(
         bill = bill.join(
             table("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left"
         )
-    return bill.selectExpr(*(f"{_EXPRESSIONS[name]} AS {name}" for name in columns))
+    return bill.selectExpr(*(f"{(_EXPRESSIONS | _MORE)[name]} AS {name}" for name in columns))

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.checks.order_bill import BILL_COLUMNS, order_bill
+from tallyloom.checks.stored_bill import STORED_QUERIES
+from tallyloom.functions.columns import or_placeholder
 from tallyloom.operators.periods import missing_periods, partition_values
 from tallyloom.operators.profile import column_profile, preview, row_order
 from tallyloom.operators.sql import sql_report
 from tallyloom.plans import adjust, rank, reconcile, reports
+from tallyloom.plans.commitments import usage_in_terms
+from tallyloom.plans.spans import idle_gaps, usage_spans
+from tallyloom.plans.subtotals import rolled_up, subtotals
+from tallyloom.plans.tags_as_of import cost_by_tag_as_of
+from tallyloom.plans.trends import month_over_month, running_costs
 from tallyloom.sources.bill import Period
 from tallyloom.sources.conform import conform
 
@@ -44,8 +51,14 @@ OPERATION = "line_item_operation"
 REGION = "product_region_code"
 AMOUNT = "line_item_usage_amount"
 DATE = "line_item_usage_start_date"
+END = "line_item_usage_end_date"
 TAG_MAP = "resource_tags"
 PLAIN_TAGS = "tags"
+PLAN_COLUMNS = (
+    "savings_plan_savings_plan_a_r_n",
+    "savings_plan_start_time",
+    "savings_plan_end_time",
+)
 UNUSED_COSTS = (
     "savings_plan_total_commitment_to_date",
     "savings_plan_used_commitment",
@@ -75,6 +88,15 @@ def _unused_rules() -> adjust.Rules:
     }
 
 
+def _subtotal_dims() -> dict[str, Column]:
+    return {
+        "service": F.col(SVC),
+        "charge_type": F.col(TYPE),
+        "region": or_placeholder(F.col(REGION), "-"),
+        "iam_principal": or_placeholder(F.col(PRIN), "(no principal)"),
+    }
+
+
 Report = Callable[[DataFrame, Period], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +183,31 @@ REPORTS: Mapping[str, tuple[Report, tuple[str, ...]]] = {
         (RES, SVC, REGION),
     ),
     "shared_resources": (rank.shared_resources, (RES, PRIN)),
+    "cost_by_tag_as_of": (
+        lambda bill, period: cost_by_tag_as_of(bill, "user_project", period),
+        (RES, DATE, TAG_MAP),
+    ),
+    "usage_in_terms": (
+        lambda bill, period: usage_in_terms(bill, period=period),
+        (SVC, USAGE_TYPE, TYPE, DATE, *PLAN_COLUMNS),
+    ),
+    "subtotals": (
+        lambda bill, period: subtotals(bill, _subtotal_dims(), period),
+        (PRIN, SVC, TYPE, REGION),
+    ),
+    "subtotals_rolled_up": (
+        lambda bill, period: subtotals(bill, _subtotal_dims(), period, rolled_up(_subtotal_dims())),
+        (PRIN, SVC, TYPE, REGION),
+    ),
+    "running_costs": (running_costs, (RES, DATE)),
+    "month_over_month": (
+        lambda bill, period: month_over_month(
+            bill, {"service": F.col(SVC), "charge_type": F.col(TYPE)}, period
+        ),
+        (SVC, TYPE),
+    ),
+    "usage_spans": (usage_spans, (RES, DATE, END)),
+    "idle_gaps": (idle_gaps, (RES, DATE, END)),
 }
 
 # Queries that look at the bill as a whole and take no period.
@@ -219,4 +266,4 @@ def all_queries() -> dict[str, Query]:
         found[name] = _report_query(name, None)
         found[f"{name}_month"] = _report_query(name, MONTH)
     found["cost_by_service_year"] = _report_query("cost_by_service", YEAR)
-    return found
+    return found | STORED_QUERIES
