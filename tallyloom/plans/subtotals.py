@@ -27,7 +27,7 @@ def subtotals(
     A row has NULL in the dimensions it sums over; as a dimension may itself be NULL,
     ``level`` tells which they are: a bit for each dimension, the last one lowest, 1
     where it is summed over. Level 0 is the report by all dimensions; the highest is
-    the grand total, which is there even for a bill without lines.
+    the grand total. A bill without lines has no row.
 
     The lines are summed to one row per full group first, and only those rows are
     multiplied by the number of sets.
