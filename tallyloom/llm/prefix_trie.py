@@ -403,3 +403,46 @@ _ARROW = {
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = turn_paths(read_table(spark, sf_dir, "conversations"))
     return prefix_trie(with_shared_turns(paths))
+
+
+#: Nodes are the lists of their turns; the remainder of a CRC-32 is worked out bit by bit.
+OP11_SQL = r"""
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda crc, x: xor(xor(crc, x) >> 1, (xor(crc, x) & 1) * 3988292384)), 4294967295) % 4 AS h
+  FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1 : c.h], []), c.turns[c.h + 1 :]) AS turns
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), members AS (
+  SELECT conv_id, depth, turns[1 : depth] AS node, len(turns) = depth AS ends
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         list(conv_id ORDER BY conv_id) FILTER (ends) AS ending
+  FROM members GROUP BY node, depth
+), parents AS (
+  SELECT node[1 : depth - 1] AS node, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * len(list_filter(
+           regexp_split_to_array(n.node[depth].text, '[\x20\x09-\x0D]+'), lambda w: w <> ''))
+         ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN parents USING (node)
+), subtrees AS (
+  SELECT node[1 : up] AS node, count(*) FILTER (n_children = 0) AS n_leaves,
+         CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+       n_leaves, saved_tokens,
+       sha256(coalesce(array_to_string(c.ending, ','), '')) AS ends_sha256
+FROM counted c JOIN subtrees USING (node)
+LEFT JOIN nodes p ON c.depth > 0 AND p.node = c.node[1 : c.depth - 1]"""

@@ -16,7 +16,7 @@ from tallyloom.llm.licenses import op2_licenses
 from tallyloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tallyloom.llm.packing import op1_packing
 from tallyloom.llm.ppm import op8_lm_scoring
-from tallyloom.llm.prefix_trie import op11_prefix_trie
+from tallyloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from tallyloom.llm.simhash import op10_simhash
 from tallyloom.llm.topk import OP3_SQL, op3_topk
 from tallyloom.llm.url_filter import op6_url_filter
@@ -60,4 +60,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op3_topk": OP3_SQL,
         "op5_decontamination": OP5_SQL,
         "op9_line_dedup": OP9_SQL,
+        "op11_prefix_trie": OP11_SQL,
     }

@@ -16,7 +16,7 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(llm_oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     frame = llm_queries()[name](spark, SF_DIR)
     columns = sorted(frame.columns)
