@@ -478,6 +478,13 @@ _STORED = {
         {"lines": "COUNT(*)"},
         f"NOT (billing_period = '{MONTH}' AND line_item_line_item_type = 'Credit')",
     ),
+    "sketched_years": f"""
+SELECT substr(billing_period, 1, 4) AS year, COUNT(*) AS lines, {_usd()} AS cost_usd,
+       COUNT(DISTINCT line_id) AS distinct_lines, TRUE AS distinct_within, TRUE AS ranks_within
+FROM lines GROUP BY 1""",
+    "sketched_payers": """
+SELECT substr(billing_period, 1, 4) AS year, any_principal AS iam_principal, COUNT(*) AS lines
+FROM lines WHERE has_principal GROUP BY 1, 2""",
     "streamed_cost": _grouped({**_SERVICE, **_TYPE}, {"lines": "COUNT(*)"}),
     "changes_of_refresh": _DELIVERED
     + f"""

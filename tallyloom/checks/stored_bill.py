@@ -13,6 +13,14 @@ from tallyloom.functions.amounts import as_usd, cost, lines
 from tallyloom.operators.cost_report import cost_report
 from tallyloom.plans.changes import line_changes, refresh_changes
 from tallyloom.plans.reports import panorama
+from tallyloom.plans.sketches import (
+    DISTINCT_BOUND,
+    RANK_BOUND,
+    estimates,
+    frequent_payers,
+    merged,
+    monthly_sketches,
+)
 from tallyloom.sources.bill import read_bill
 from tallyloom.sources.bill_schema import BILL_SCHEMA, PARTITION_COLUMN
 from tallyloom.sources.refresh import refresh_months
@@ -123,7 +131,52 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(shown)
 
 
+def _stored_sketches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The bill, and the sketches of its years, merged from stored ones of its months."""
+    path = new_folder(spark, "sketches")
+    bill = order_bill(spark, sf_dir, (PARTITION_COLUMN, _COST, LINE_ID, "line_item_iam_principal"))
+    monthly_sketches(bill, counted=F.col(LINE_ID)).write.parquet(path)
+    return bill, merged(spark.read.parquet(path), F.substring(PARTITION_COLUMN, 1, 4), "year")
+
+
+def sketched_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, cost and different lines of each year; whether estimates are within bounds.
+
+    The exact figures come from the lines, the estimates from sketches of months.
+    """
+    bill, years = _stored_sketches(spark, sf_dir)
+    asked = (0.1, 0.5, 0.9)
+    found = estimates(years, asked)
+    lines = bill.withColumn("year", F.substring(PARTITION_COLUMN, 1, 4))
+    below = [
+        F.count_if(F.col(_COST) <= F.col("quantile_estimates")[n]).alias(f"below_{n}")
+        for n in range(len(asked))
+    ]
+    exact = (
+        lines.join(F.broadcast(found.select("year", "quantile_estimates")), "year")  # a row a year
+        .groupBy("year")
+        .agg(F.count_distinct(LINE_ID).alias("distinct_lines"), *below)
+    )
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_lines"))
+    ranks_off = [F.abs(F.col(f"below_{n}") / F.col("lines") - share) for n, share in enumerate(asked)]
+    return found.join(exact, "year").select(
+        "year",
+        "lines",
+        "cost_usd",
+        "distinct_lines",
+        (off <= DISTINCT_BOUND * F.col("distinct_lines")).alias("distinct_within"),
+        (F.greatest(*ranks_off) <= RANK_BOUND).alias("ranks_within"),
+    ).orderBy("year")
+
+
+def sketched_payers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent principals of each year, from sketches of months."""
+    return frequent_payers(_stored_sketches(spark, sf_dir)[1])
+
+
 STORED_QUERIES = {
+    "sketched_years": sketched_years,
+    "sketched_payers": sketched_payers,
     "refreshed_months": refreshed_months,
     "stored_panorama_month": stored_panorama,
     "streamed_cost": streamed_cost,
