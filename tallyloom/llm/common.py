@@ -26,11 +26,14 @@ def found_by_workers(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session has none (tests on one machine), a temporary folder is set.
+    Where a session on one machine has none (tests), a temporary folder is set. On a
+    cluster that would be another folder on each machine: it raises ``ValueError``.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
