@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import read_table
-from tallyloom.llm.html_blocks import Block, blocks_of
+from tallyloom.llm.html_blocks import TAGS, WORDS, Block, blocks_of
 
 #: At most this many labelled pages of the data are learned from, of at most so
 #: many characters each.
@@ -29,29 +29,7 @@ PASSES = 150
 SEED = 7
 SEPARATOR = "\n\n"
 
-# Elements, and words of class, id and role, that tell about a block.
-TAGS = (
-    "a", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "figcaption",
-    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "label", "li",
-    "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "ul",
-)
-WORDS = {
-    "advert": "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored"
-    " promo promotion banner",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc",
-    "side": "sidebar side widget widgets related recommended recommendations trending popular"
-    " complementary",
-    "foot": "footer foot copyright legal bottom contentinfo colophon",
-    "head": "header masthead topbar top logo branding",
-    "notice": "cookie cookies consent gdpr notice popup modal alert overlay dialog toast"
-    " newsletter subscribe signup paywall",
-    "comment": "comment comments reply replies respond discussion disqus feedback",
-    "share": "share sharing social follow",
-    "form": "form login search register",
-    "content": "content article post entry story body text main prose page",
-    "meta": "byline author meta date tags category",
-}
-_KIND = {word: kind for kind, words in WORDS.items() for word in words.split()}
+_HEADINGS = frozenset(("h1", "h2", "h3"))
 _LENGTHS = (1, 2, 4, 8, 16, 32, 64)
 _NAMES = [
     "always",
@@ -71,9 +49,8 @@ def features(blocks: Sequence[Block]) -> list[list[int]]:
     for at, block in enumerate(blocks):
         own = {"always"}
         own.update(f"in_{tag}" for tag in block.tags)
-        if block.tags:
-            own.add(f"is_{block.tags[-1]}")
-        own.update(f"word_{_KIND[word]}" for word in block.words if word in _KIND)
+        own.add(f"is_{block.inner}")
+        own.update(f"word_{kind}" for kind in block.kinds)
         words = block.text.count(" ") + 1
         own.add(f"length_{sum(words > limit for limit in _LENGTHS)}")
         density = block.link_chars / len(block.text)
@@ -86,9 +63,9 @@ def features(blocks: Sequence[Block]) -> list[list[int]]:
             own.add("first")
         if at == len(blocks) - 1:
             own.add("last")
-        if any(tag in ("h1", "h2", "h3") for tag in block.tags):
+        if block.tags & _HEADINGS:
             own.add("heading")
-        if at and any(tag in ("h1", "h2", "h3") for tag in blocks[at - 1].tags):
+        if at and blocks[at - 1].tags & _HEADINGS:
             own.add("after_heading")
         found.append(sorted(FEATURES[name] for name in own if name in FEATURES))
     return found
@@ -212,9 +189,20 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
         items = (f'<a href="/x">{words(1, 3)}</a>' for _ in range(draw.randint(low, high)))
         return "".join(f"<li>{item}</li>" for item in items)
 
-    def paragraphs(mark: str, low: int, high: int) -> str:
+    def linked(text: str) -> str:
+        """The text, sometimes with a link or an emphasis somewhere inside."""
+        parts = text.split(" ")
+        if len(parts) > 8 and draw.random() < 0.25:
+            at = draw.randrange(1, len(parts) - 3)
+            stop = at + draw.randint(1, 3)
+            inside = " ".join(parts[at:stop])
+            tag = draw.choice(('<a href="/x">{}</a>', '<a href="/y">{}</a>', "<em>{}</em>"))
+            parts[at:stop] = [tag.format(inside)]
+        return " ".join(parts)
+
+    def paragraphs(mark: str, low: int, high: int, tag: str = "p") -> str:
         return "".join(
-            f"<p>{mark}{some}</p>"
+            f"<{tag}>{mark}{linked(some) if mark else some}</{tag}>"
             for _ in range(draw.randint(low, high))
             for some in [
                 sentences(1, draw.choice((1, 5, 20))) if draw.random() < 0.8 else words(1, 12)
@@ -276,10 +264,11 @@ def example_pages(number: int = EXAMPLE_PAGES, seed: int = SEED) -> list[str]:
         pieces = []
         if draw.random() < 0.1:
             return paragraphs(_MARK, 1, 1)
+        tag = "div" if draw.random() < 0.2 else "p"
         for _ in range(draw.randint(1, 4)):
             kind = draw.random()
             if kind < 0.6:
-                pieces.append(paragraphs(_MARK, 1, 5))
+                pieces.append(paragraphs(_MARK, 1, 5, tag))
             elif kind < 0.7:
                 pieces.append(f"<h2>{_MARK}{words(1, 6)}</h2>{paragraphs(_MARK, 1, 2)}")
             elif kind < 0.8:
@@ -326,8 +315,7 @@ def labels_by_text(blocks: Iterable[Block], text: str) -> list[int]:
     return [
         int(
             block.text in lines
-            and block.link_chars == 0
-            or bool({"h1", "h2"} & set(block.tags))
+            or bool({"h1", "h2"} & block.tags)
             and whole.startswith(block.text)
         )
         for block in blocks

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -66,6 +67,41 @@ def test_blocks_of_broken_markup():
     assert texts("") == [] and texts("<<<>>>") == ["<<<>>>"] and texts("<p") == ["<p"]
     assert len(texts("<div>" * 3000 + "deep")) == 1
     assert texts("<a href=\"x>" + "y" * 50) != []
+    assert texts("<p>one <img src=x> two <svg><text>no</text></svg> three<hr>four") == ["one two three", "four"]
+    assert texts("<p>pick <select><optgroup><option>no<option>no</select> one</p>") == ["pick one"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data=x>shown</object>") == ["so x=2 and shown"]
+
+
+def test_what_is_left_open_hides_no_page():
+    texts = lambda page: [block.text for block in blocks_of(page)]
+    assert texts("<html><head><title>t</title><body><p>Text</p></body></html>") == ["Text"]
+    assert texts("<head><meta charset=x><link href=/a/><p>Text") == ["Text"]
+    assert texts("<head><title>t</title> Text") == ["Text"] and texts("<title>open <p>Text") == ["open", "Text"]
+    for tag in ("button", "select", "svg", "datalist"):
+        assert texts(f"<div>a<{tag}>no</div><p>b</p>") == ["a", "b"]
+        assert texts(f"<{tag}>no<p>Text</p><p>more") == ["Text", "more"]
+    for tag in ("textarea", "noscript", "iframe", "xmp", "object", "video", "math"):
+        assert texts(f"<p>a</p><{tag}><p>Text</p>") == ["a", "Text"]
+    assert texts("<a href=/x/>one</a> <div/>two<p/>three") == ["one", "two", "three"]
+    assert [b.link_chars for b in blocks_of("<p><a href=/x/>one</a> two")] == [3]
+    assert texts("<svg><path d='x'/><g/></svg>yes") == ["yes"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x" * 100_000, "<div class='post a1'>" * 100_000 + "x", "<a x=\"b\" y=\"c" * 50_000,
+        "<a x=\"b\" y='c" * 50_000 + ">", "<a " * 100_000 + "\" >", "<b <i " * 50_000 + "'x' \"", "<" * 200_000,
+        "<div>" * 50_000 + "<tr></tr><p>x</p></b></td>" * 50_000, "<title>" * 50_000 + "<textarea>" * 50_000,
+        "<p>" * 100_000 + "</p>" * 100_000, "<a>" * 100_000 + "x", "<!--" * 100_000, "<x-y>" * 100_000, "&amp;" * 200_000,
+        "<p " + "a " * 200_000 + ">x", "<p " + " " * 400_000 + "=>x", "<li>" * 100_000, "<svg><button>" * 50_000 + "<p>x",
+    ],
+    ids=range(18),
+)
+def test_time_is_in_proportion_to_the_page(page):
+    begun = time.process_time()
+    blocks_of(page)
+    assert time.process_time() - begun < 6
 
 
 def test_unseen_examples_are_labelled_well(crf):
@@ -92,6 +128,15 @@ def test_boilerplate_goes_and_the_article_stays(crf):
     ]
 
 
+def test_articles_of_bare_divisions_and_with_links(crf):
+    lines = [f"Sentence number {n} of the article, which says something of some length." for n in "one two three four five".split()]
+    bare = "".join(f"<div>{line}</div>" for line in lines)
+    page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div>{bare}</div><footer>© Site</footer></body></html>"
+    assert main_blocks(page, crf) == lines
+    linked = "".join(f"<p>{line.replace('article', '<a href=/a>article</a>')}</p>" for line in lines)
+    assert main_blocks(page.replace(bare, linked), crf) == lines
+
+
 def test_awkward_rows(spark, crf):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a>x</a></nav>"), (3, "u", "<nav><a>x</a></nav>")]
     rows += [(None, "u", "<article><p>" + "Long text. " * 20000 + "</p></article>")]
