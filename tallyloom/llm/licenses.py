@@ -106,23 +106,168 @@ SENTENCES = {
         "this is free and unencumbered software released into the public domain",
     ),
     "Reserved": ("all rights reserved",),
+    "MitAsIs": (
+        "the software is provided as is, without warranty of any kind, express or implied,"
+        " including but not limited to the warranties of merchantability, fitness for a"
+        " particular purpose and noninfringement",
+    ),
+    "MitNoLiability": (
+        "in no event shall the authors or copyright holders be liable for any claim, damages or"
+        " other liability, whether in an action of contract, tort or otherwise, arising from,"
+        " out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "BsdAsIs": (
+        "this software is provided by the copyright holders and contributors as is and any"
+        " express or implied warranties, including, but not limited to, the implied warranties"
+        " of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    "BsdNoLiability": tuple(
+        f"in no event shall the copyright {holder} or contributors be liable for any direct,"
+        " indirect, incidental, special, exemplary, or consequential damages (including, but not"
+        " limited to, procurement of substitute goods or services; loss of use, data, or profits;"
+        " or business interruption) however caused and on any theory of liability, whether in"
+        " contract, strict liability, or tort (including negligence or otherwise) arising in any"
+        " way out of the use of this software, even if advised of the possibility of such damage"
+        for holder in ("holder", "holders", "owner")
+    ),
+    "IscAsIs": (
+        "the software is provided as is and the author disclaims all warranties with regard to"
+        " this software including all implied warranties of merchantability and fitness",
+    ),
+    "ApacheCopyAt": (
+        "you may obtain a copy of the license at",
+        "you may obtain a copy of the license at http://www.apache.org/licenses/license-#",
+        "you may obtain a copy of the license at https://www.apache.org/licenses/license-#",
+    ),
+    "ApacheUrl": (
+        "http://www.apache.org/licenses/license-#",
+        "https://www.apache.org/licenses/license-#",
+    ),
+    "ApacheAsIs": (
+        "unless required by applicable law or agreed to in writing, software distributed under"
+        " the license is distributed on an as is basis, without warranties or conditions of any"
+        " kind, either express or implied",
+    ),
+    "ApacheSee": (
+        "see the license for the specific language governing permissions and limitations under"
+        " the license",
+    ),
+    "GplOnly": tuple(
+        "this program is free software"
+        f"{mark} you can redistribute it and/or modify it under the terms of the gnu general"
+        f" public license{comma} version #{comma} as published by the free software foundation"
+        for mark in ":;"
+        for comma in ("", ",")
+    ),
+    "LgplFree": tuple(
+        f"this {thing} is free software{mark} you can redistribute it and/or modify it under the"
+        f" terms of the gnu lesser general public license as published by the free software"
+        f" foundation{stop} either version # of the license, or (at your option) any later version"
+        for thing in ("library", "program")
+        for mark, stop in ((":", ","), (";", ";"))
+    ),
+    "AgplFree": tuple(
+        f"this program is free software{mark} you can redistribute it and/or modify it under the"
+        f" terms of the gnu affero general public license as published by the free software"
+        f" foundation, either version # of the license, or (at your option) any later version"
+        for mark in ":;"
+    ),
+    "GnuHope": tuple(
+        f"this {thing} is distributed in the hope that it will be useful, but without any"
+        " warranty; without even the implied warranty of merchantability or fitness for a"
+        " particular purpose"
+        for thing in ("program", "library")
+    ),
+    "GnuSee": tuple(
+        f"see the gnu {kind}general public license for more details"
+        for kind in ("", "lesser ", "affero ")
+    ),
+    "GnuCopy": tuple(
+        f"you should have received a copy of the gnu {kind}general public license along with"
+        f" this {thing}"
+        for kind in ("", "lesser ", "affero ")
+        for thing in ("program", "library")
+    ),
+    "GnuUrl": (
+        "if not, see <https://www.gnu.org/licenses/>",
+        "if not, see <http://www.gnu.org/licenses/>",
+        "if not, see https://www.gnu.org/licenses/",
+    ),
+    "MplCopy": (
+        "if a copy of the mpl was not distributed with this file, you can obtain one at"
+        " https://mozilla.org/mpl/#/",
+        "if a copy of the mpl was not distributed with this file, you can obtain one at"
+        " http://mozilla.org/mpl/#/",
+    ),
+    "ZlibAsIs": (
+        "this software is provided as-is, without any express or implied warranty",
+    ),
+    "ZlibNoLiability": (
+        "in no event will the authors be held liable for any damages arising from the use of"
+        " this software",
+    ),
+    "ZlibPermission": (
+        "permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely, subject to the"
+        " following restrictions",
+    ),
+    "ZlibOrigin": (
+        "the origin of this software must not be misrepresented; you must not claim that you"
+        " wrote the original software",
+    ),
+    "ZlibMarked": (
+        "altered source versions must be plainly marked as such, and must not be misrepresented"
+        " as being the original software",
+    ),
+    "ZlibNotice": ("this notice may not be removed or altered from any source distribution",),
+    "BoostUnder": ("distributed under the boost software license, version #",),
+    "BoostPermission": (
+        "permission is hereby granted, free of charge, to any person or organization obtaining a"
+        " copy of the software and accompanying documentation covered by this license (the"
+        " software) to use, reproduce, display, distribute, execute, and transmit the software,"
+        " and to prepare derivative works of the software, and to permit third-parties to whom"
+        " the software is furnished to do so, all subject to the following",
+    ),
+    "Unencumbered": (
+        "anyone is free to copy, modify, publish, use, compile, sell, or distribute this"
+        " software, either in source code form or as a compiled binary, for any purpose,"
+        " commercial or non-commercial, and by any means",
+    ),
+    "CcZero": (
+        "to the extent possible under law, the author(s) have dedicated all copyright and"
+        " related and neighboring rights to this software to the public domain worldwide",
+        "released under cc0 #",
+        "licensed under cc0 #",
+    ),
 }
 
-# Licences by the sentences that spell them, in order. ``{}`` is the
-# version. A rule of more sentences comes first; rules of as many, as listed.
+_BSD_END = ("?BsdAsIs", "?BsdNoLiability")
+_GNU_END = ("?GnuHope", "?GnuSee", "?GnuCopy", "?GnuUrl")
+_APACHE_END = ("?ApacheCopyAt", "?ApacheUrl", "?ApacheAsIs", "?ApacheSee")
+# Licences by the sentences that spell them, in order; those with a
+# question mark may be missing. ``{}`` is the version. A rule of more sentences that
+# must be there comes first; rules of as many, as listed.
 RULES = (
-    ("BSD-3-Clause", ("Redistribution", "SourceKeeps", "BinaryKeeps", "NoEndorsement")),
-    ("BSD-2-Clause", ("Redistribution", "SourceKeeps", "BinaryKeeps")),
-    ("MIT", ("Permission", "NoticeKept")),
-    ("Apache-{}", ("ApacheUnder", "ApacheFile")),
+    ("Zlib", ("ZlibAsIs", "ZlibNoLiability", "ZlibPermission", "?ZlibOrigin", "?ZlibMarked", "?ZlibNotice")),
+    ("BSD-3-Clause", ("Redistribution", "SourceKeeps", "BinaryKeeps", "NoEndorsement", *_BSD_END)),
+    ("BSD-2-Clause", ("Redistribution", "SourceKeeps", "BinaryKeeps", *_BSD_END)),
+    ("MIT", ("Permission", "NoticeKept", "?MitAsIs", "?MitNoLiability")),
+    ("Apache-{}", ("ApacheUnder", "ApacheFile", *_APACHE_END)),
+    ("Unlicense", ("PublicDomain", "Unencumbered", "?MitAsIs", "?MitNoLiability")),
     ("Apache-{}", ("ApacheUnder",)),
-    ("ISC", ("PermissionIsc",)),
+    ("ISC", ("PermissionIsc", "?IscAsIs")),
+    ("BSL-{}", ("BoostUnder",)),
+    ("BSL-1.0", ("BoostPermission",)),
+    ("CC0-1.0", ("CcZero",)),
+    ("AGPL-{}-or-later", ("AgplFree", *_GNU_END)),
+    ("LGPL-{}-or-later", ("LgplFree", *_GNU_END)),
+    ("GPL-{}-only", ("GplOnly", *_GNU_END)),
     ("MIT", ("MitUnder",)),
     ("BSD-{}-Clause", ("BsdUnder",)),
-    ("GPL-{}-or-later", ("GplFree",)),
+    ("GPL-{}-or-later", ("GplFree", *_GNU_END)),
     ("GPL-{}", ("GplUnder",)),
     ("LGPL-{}", ("LgplUnder",)),
-    ("MPL-{}", ("MplUnder",)),
+    ("MPL-{}", ("MplUnder", "?MplCopy")),
     ("CC-BY-{}", ("CcByUnder",)),
     ("CC-BY-SA-{}", ("CcBySaUnder",)),
     ("CC-BY-NC-{}", ("CcByNcUnder",)),
@@ -135,21 +280,35 @@ RULES = (
 
 #: Every known sentence holds one of these, so a text without them holds none. None
 #: has a blank, since blanks and line ends of a text are not yet normalised.
-HINTS = ("licen", "permi", "redistrib", "copyright", "domain", "software", "rights")
+HINTS = (
+    "licen", "permi", "distribut", "copyright", "domain", "software", "rights", "warrant",
+    "released", "licensed",
+)
+#: Other known sentences that may stand between two of a rule.
+GAP = 1
 
 _KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
 _LINE_MARKS = re.compile(
-    r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|\"\"\"|\(?[a-z0-9]\)|[0-9]\.)?[ \t]*", re.I | re.M
+    r"[ \t]*+(?:/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|\"\"\"|\(?[a-z0-9]\)|[0-9]\.)?[ \t]*+", re.I
 )
-_LINE_ENDS = re.compile(r"[ \t]*(?:\*+/|-->|\"\"\")?[ \t]*$", re.M)
+_END_MARKS = ("*/", "-->", '"""')
 _VERSION = re.compile(r"(?<![\w.])v?([0-9]+(?:\.[0-9]+)*)(?![\w])")
 #: A sentence ends at such a mark before a blank, or at an empty line.
-_SENTENCE = re.compile(r"[.!?:;]+(?=\s)|\n[ \t]*\n")
+_SENTENCE = re.compile(r"[.!?:;]+(?=\s)|\n(?=\n)")
 _BLANKS = re.compile(r"\s+")
 _QUOTE_MARKS = "\"'`“”‘’«»"
 _QUOTES = str.maketrans("", "", _QUOTE_MARKS)
 
 
+def without_marks(line: str) -> str:
+    """The line without the marks of a comment or a list, and the blanks, at its sides."""
+    line = line[_LINE_MARKS.match(line).end() :].rstrip(" \t\r")
+    for mark in _END_MARKS:
+        if line.endswith(mark):
+            return line.removesuffix(mark).rstrip("*" if mark == "*/" else "").rstrip(" \t\r")
+    return line
+
+
 def normalised(sentence: str) -> tuple[str, str]:
     """The sentence as it is looked up, and the versions in it."""
     text = _BLANKS.sub(" ", sentence.translate(_QUOTES).lower()).strip(" .,:;!?-*")
@@ -191,29 +350,54 @@ def sentence_ids(text: str) -> list[tuple[str, str]]:
     The text is read by lines and by sentences over lines; the reading that knows
     more of it counts, of equals the one by lines.
     """
-    bare = _LINE_ENDS.sub("", _LINE_MARKS.sub("", text))
+    bare = "\n".join(map(without_marks, text.split("\n")))
     lines = (part for line in bare.split("\n") for part in _joined_sentences(line))
     by_line = _known(lines)
     by_sentence = _known(_joined_sentences(bare))
     return by_sentence if len(by_sentence) > len(by_line) else by_line
 
 
+def _spelling(wanted: tuple[str, ...]) -> re.Pattern[str]:
+    """A rule as a pattern of letters, one for each sentence."""
+    parts = []
+    for number, name in enumerate(wanted):
+        letter = _LETTER[name.removeprefix("?")]
+        part = f"(?:.{{0,{GAP}}}?({letter}))" if number else f"({letter})"
+        parts.append(part + "?" * name.startswith("?"))
+    return re.compile("".join(parts), re.S)
+
+
+_LETTER = {name: chr(0xE000 + number) for number, name in enumerate(SENTENCES)}
+_CLAIMED = "-"
+_BY_LENGTH = sorted(RULES, key=lambda rule: -sum(not name.startswith("?") for name in rule[1]))
+_SPELLINGS = [(licence, _spelling(wanted)) for licence, wanted in _BY_LENGTH]
+
+
 def match_rules(sentences: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
-    """Licences in order of appearance without repeats, and sentences no rule claims."""
-    names = [name for name, _ in sentences]
-    owner: list[str | None] = [None] * len(names)
+    """Licences in order of appearance without repeats, and sentences no rule claims.
+
+    Rules are tried in their order, each from the first sentence on. A rule claims the
+    sentences it is spelt with; up to ``GAP`` others, claimed or not, may stand between
+    two of them.
+    """
+    line = "".join(_LETTER[name] for name, _ in sentences)
     found: list[tuple[int, str]] = []
-    for licence, wanted in sorted(RULES, key=lambda rule: -len(rule[1])):
-        width = len(wanted)
-        for at in range(len(names) - width + 1):
-            free = all(who is None for who in owner[at : at + width])
-            if free and tuple(names[at : at + width]) == wanted:
-                version = next((v for _, v in sentences[at : at + width] if v), "")
-                name = licence.format(version)
-                owner[at : at + width] = [name] * width
-                found.append((at, name))
+    for licence, spelling in _SPELLINGS:
+        claimed: set[int] = set()
+        match = spelling.search(line)
+        while match:
+            places = [match.start(n) for n in range(1, spelling.groups + 1) if match[n]]
+            if not claimed.isdisjoint(places):  # this rule has taken some of them already
+                line = "".join(_CLAIMED if at in claimed else c for at, c in enumerate(line))
+                match = spelling.search(line, match.start())
+                continue
+            claimed.update(places)
+            version = next((sentences[at][1] for at in places if sentences[at][1]), "")
+            found.append((places[0], licence.format(version)))
+            match = spelling.search(line, match.start() + 1)
+        line = "".join(_CLAIMED if at in claimed else c for at, c in enumerate(line)) if claimed else line
     licences = list(dict.fromkeys(name for _, name in sorted(found)))
-    return licences, [name for name, who in zip(names, owner) if who is None]
+    return licences, [name for (name, _), c in zip(sentences, line) if c != _CLAIMED]
 
 
 def _hinted(text: str) -> bool:
