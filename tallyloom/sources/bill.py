@@ -41,6 +41,31 @@ def read_bill(
     return reader.parquet(*chosen)
 
 
+def read_bill_table(
+    spark: SparkSession,
+    table: str,
+    schema: T.StructType = BILL_SCHEMA,
+    period: Period = None,
+) -> DataFrame:
+    """A bill that the catalog knows by name, with the declared columns.
+
+    Its directories are pruned by ``period`` as those of ``read_bill``, if the table is
+    partitioned by the billing month. Columns it does not have are NULL; what it has
+    besides is left out. A table must be told of a month that landed outside of it
+    (``MSCK REPAIR TABLE``); a path needs no such step.
+    """
+    bill = for_period(spark.table(table), period)
+    found = {name.lower(): name for name in bill.columns}
+    return bill.select(
+        *(
+            F.col(f"`{found[field.name.lower()]}`").alias(field.name)
+            if field.name.lower() in found
+            else F.lit(None).cast(field.dataType).alias(field.name)
+            for field in schema
+        )
+    )
+
+
 def _month_paths(spark: SparkSession, path: str, months: list[str]) -> list[str]:
     """Directories of the months that exist, under either spelling."""
     names = (PARTITION_COLUMN.upper(), PARTITION_COLUMN)

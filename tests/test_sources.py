@@ -294,3 +294,21 @@ def test_written_report_is_in_order(spark, tmp_path):
         for line in part.read_text().splitlines()[1:]
     ]
     assert costs == sorted(costs, reverse=True) and len(costs) == 300
+
+
+def test_a_bill_known_by_name(spark, tmp_path):
+    from tallyloom.sources.bill import read_bill_table
+
+    lines = bill(spark, {"period": "2026-05", "cost": 1.0}, {"period": "2026-06", "cost": 2.0}, {"period": "2026-06", "cost": 3.0})
+    slim = lines.select("line_item_unblended_cost", "billing_period").withColumn("else", F.lit(1))
+    spark.sql("DROP TABLE IF EXISTS named_bill")
+    try:
+        slim.write.option("path", str(tmp_path / "named")).partitionBy("billing_period").saveAsTable("named_bill")
+        found = read_bill_table(spark, "named_bill", BILL, period="2026-06")
+        assert found.columns == BILL.names
+        assert sorted(row.line_item_unblended_cost for row in found.collect()) == [2.0, 3.0]
+        assert found.where("line_item_resource_id IS NOT NULL").isEmpty()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(billing_period" in plan
+    finally:
+        spark.sql("DROP TABLE IF EXISTS named_bill")
