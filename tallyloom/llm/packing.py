@@ -29,7 +29,7 @@ GROUP_TOKENS = 4_000_000
 PART_CHARS = 2_000_000
 #: Words a worker remembers, some 200 bytes each; when full, only those met since
 #: the last time stay.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
 #: Rows of a batch whose texts are Python strings at one time.
 _ROWS = 256
 
