@@ -3,26 +3,18 @@
 Words become a template: numbers, names and units give way to typed placeholders.
 Windows of templates are hashed and joined with those of the benchmark. Where they
 match, the words behind the placeholders are compared: what stands for a value of
-the benchmark must stand for it everywhere, and for no other.
+the benchmark in most places must stand for it, and no other does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import (
-    SMALL_ROWS,
-    doc_key,
-    fresh,
-    let,
-    read_table,
-    stored,
-    text_hash,
-)
+from tallyloom.llm.common import doc_key, fresh, let, read_table, stored, text_hash
 
 #: Words of a window, and how many of them must not be placeholders.
 WIDTH = 8
@@ -31,6 +23,9 @@ LITERALS = 5
 #: or else this share of the item.
 MIN_WORDS = 13
 MIN_SHARE = 0.8
+#: A table is broadcast up to so many rows of a few numbers, and characters besides.
+SMALL_WINDOWS = 200_000
+SMALL_CHARS = 8_000_000
 
 # Words that name a unit.
 UNITS = (
@@ -79,265 +74,212 @@ def _is_slot(word: Column) -> Column:
     return word.startswith("0")
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all windows of an array of words; NULL if there are too few."""
+#: Ways to compare: words in lower case; their templates; templates of tokens, where a
+#: number with its separators and a run of names are one.
+VERBATIM, BY_WORDS, BY_TOKENS = range(3)
 
-    def joined(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(hashes) - WIDTH)
-        return F.when(
-            F.size(hashes) >= WIDTH,
-            F.transform(starts, lambda at: F.xxhash64(*(hashes[at + k] for k in range(WIDTH)))),
-        )
 
-    return let(F.transform(words, lambda word: F.xxhash64(word)), joined)
+def _templates(words: Column, tokens: Column) -> list[Column]:
+    """What is compared in each way."""
+    lowered = F.transform(words, lambda word: F.lower(word))
+    return [lowered, F.transform(words, template_word), F.transform(tokens, template_word)]
 
 
-def _exploded(rows: DataFrame, keys: list[str], words: Column, pos: str) -> DataFrame:
-    return rows.select(*keys, F.posexplode(_windows(words)).alias(pos, "window"))
+def _windows(template: Column, way: int) -> Column:
+    """All windows of ``WIDTH`` as structs: the way, the hash, the position."""
 
+    def joined(hashes: Column) -> Column:
+        number = F.greatest(F.size(hashes) - (WIDTH - 1), F.lit(0))
+        return F.transform(
+            F.slice(F.sequence(F.lit(0), F.size(hashes)), F.lit(1), number),
+            lambda at: F.struct(
+                F.lit(way).alias("way"),
+                F.xxhash64(*(hashes[at + k] for k in range(WIDTH))).alias("window"),
+                at.alias("pos"),
+            ),
+        )
 
-def _small(facts: DataFrame) -> DataFrame:
-    """To be broadcast if it is known to be small; else left to Spark."""
-    return F.broadcast(facts) if facts.count() <= SMALL_ROWS else facts
+    return let(F.transform(template, lambda word: F.xxhash64(word)), joined)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold a benchmark item: one row per document and item.
+def _small(facts: DataFrame, chars: Column | None = None) -> DataFrame:
+    """To be broadcast if it is measured to be small; else left to Spark.
 
-    Reads ``doc_id`` and ``text`` of the documents, ``item_id`` and ``text`` of the
-    benchmark. Gives ``doc_id``, ``text_hash``, ``item_id``, ``matched_words``
-    (words of the item found, in windows of ``WIDTH``), ``item_words``, ``slots``
-    (placeholders among them) and ``reparameterised`` (whether any of these has
-    another value than in the item).
+    ``chars`` is the size of a row where it is not a few numbers.
+    """
+    rows, size = facts.agg(F.count("*"), F.sum(chars if chars is not None else F.lit(0))).first()
+    return F.broadcast(facts) if rows <= SMALL_WINDOWS and (size or 0) <= SMALL_CHARS else facts
 
-    A document holds an item if it has ``MIN_WORDS`` of its words, or ``MIN_SHARE``
-    of them, in matching windows. Windows at one distance between the position in
-    the document and in the item count together, if their slots are consistent:
-    the same value of the item is the same value of the document, and conversely.
-    A window with fewer than ``LITERALS`` literal words must be equal word by word.
 
-    NULL texts are empty. Items of fewer than ``WIDTH`` words can't be told from
-    chance and are not looked for. Items with equal text are one, with the
-    smallest item_id; rows with the same doc_id and text are one document. Empty
-    tables give no rows. Document windows are joined, never grouped, before they
-    have matched, so a frequent passage is only as many rows as it has windows.
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Different items: ``item_id``, ``item_text``, ``item_words`` and ``item_key``.
+
+    The key tells items apart also where they have no item_id.
     """
-    items = stored(
-        benchmark.groupBy(F.coalesce("text", F.lit("")).alias("text"))
+    return stored(
+        benchmark.groupBy(F.coalesce("text", F.lit("")).alias("item_text"))
         .agg(F.min("item_id").alias("item_id"))
-        .select("item_id", words_of("text").alias("item"))
-        .withColumn("item_template", F.transform("item", template_word))
-    )
-    in_window = F.slice("item_template", F.col("item_pos") + 1, WIDTH)
-    of_items = stored(
-        _exploded(items, ["item_id", "item_template"], F.col("item_template"), "item_pos")
-        .withColumn(
-            "plain",
-            F.size(F.filter(in_window, lambda word: ~_is_slot(word))) >= LITERALS,
-        )
-        .drop("item_template")
-    )
-    keyed = docs.select(
-        doc_key("doc_id").alias("_id"), text_hash("text").alias("text_hash"), "doc_id", "text"
+        .withColumns({"item_words": F.size(words_of("item_text")), "item_key": F.xxhash64("item_text")})
     )
-    keys = ["_id", "text_hash"]
-    words = words_of("text")
-    in_docs = _exploded(keyed, keys, F.transform(words, template_word), "pos")
-    plain = of_items.where("plain").drop("plain")
-    met = in_docs.join(_small(plain), "window")
-    # Items with windows of hardly any literal words: these are compared verbatim.
-    crowded = of_items.where("NOT plain").select("item_id", "item_pos")
-    if not crowded.isEmpty():
-        verbatim = _exploded(
-            items, ["item_id"], F.transform("item", lambda w: F.lower(w)), "item_pos"
-        ).join(crowded, ["item_id", "item_pos"])
-        in_docs = _exploded(keyed, keys, F.transform(words, lambda w: F.lower(w)), "pos")
-        met = met.unionByName(in_docs.join(_small(stored(verbatim)), "window"))
-    spans = stored(
-        met.groupBy(*keys, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-            F.collect_set("item_pos").alias("starts")
-        )
-    )
-    wanted = _small(stored(spans.select(*keys).distinct()))
-    of_docs = keyed.join(wanted, keys, "left_semi").select(
-        *keys, "doc_id", words.alias("doc_words")
-    )
-    aligned = spans.join(of_docs, keys).join(_small(items), "item_id")
-    covered = F.array_sort(
-        F.array_distinct(
-            F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (WIDTH - 1))))
-        )
-    )
-    pairs = F.transform(
-        F.filter("covered", lambda at: _is_slot(F.col("item_template")[at])),
-        lambda at: F.struct(
-            F.lower(F.col("item")[at]).alias("ours"),
-            F.lower(F.col("doc_words")[at + F.col("shift")]).alias("theirs"),
-        ),
-    )
-    slots = F.array_distinct("pairs")
-    consistent = (F.size(F.array_distinct("pairs.ours")) == F.size(slots)) & (
-        F.size(F.array_distinct("pairs.theirs")) == F.size(slots)
-    )
-    matched = (
-        aligned.withColumn("covered", covered)
-        .withColumn("pairs", pairs)
-        .where(consistent)
-        .groupBy(*keys, "doc_id", "item_id")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched_words"),
-            F.max(F.size("item")).alias("item_words"),
-            F.max(F.size("pairs")).alias("slots"),
-            F.max(F.exists("pairs", lambda pair: pair["ours"] != pair["theirs"])).alias(
-                "reparameterised"
-            ),
-        )
-    )
-    enough = (F.col("matched_words") >= MIN_WORDS) | (
-        F.col("matched_words") >= MIN_SHARE * F.col("item_words")
-    )
-    return matched.where(enough).drop("_id")
-
-
-def _verbatim(keyed: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``item_id`` and ``found``: word positions of an item in equal windows."""
 
-    def lowered(text: str) -> Column:
-        return F.transform(words_of(text), lambda word: F.lower(word))
 
-    ours = stored(_exploded(items, ["item_id"], lowered("item_text"), "item_pos"))
-    met = _exploded(keyed, keys, lowered("text"), "pos").join(_small(ours), "window")
-    return met.groupBy(*keys, "item_id").agg(
-        F.flatten(
-            F.transform(
-                F.collect_set("item_pos"), lambda at: F.sequence(at, at + (WIDTH - 1))
+def _item_tokens(items: DataFrame) -> DataFrame:
+    """A row for each way, item and token: where it is, its value, and its words' places."""
+    cut = items.select("item_key", words_of("item_text").alias("w"), tokens_of("item_text").alias("t"))
+    templates = _templates(F.col("w"), F.col("t"))
+    parts = []
+    for way, (value, template) in enumerate(zip(("w", "w", "t"), templates)):
+        zipped = cut.select("item_key", F.posexplode(F.arrays_zip(F.col(value).alias("v"), template.alias("k"))))
+        parts.append(
+            zipped.select(
+                F.lit(way).alias("way"),
+                "item_key",
+                F.col("pos").alias("at"),
+                F.lower("col.v").alias("ours"),
+                (F.lit(way != VERBATIM) & _is_slot(F.col("col.k"))).alias("is_slot"),
+                F.size(words_of("col.v")).alias("n_words"),
             )
-        ).alias("found")
+        )
+    before = W.partitionBy("way", "item_key").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    return reduce(DataFrame.unionAll, parts).select(
+        "*", F.coalesce(F.sum("n_words").over(before), F.lit(0)).cast("int").alias("first_word")
     )
 
 
-def _by_template(
-    keyed: DataFrame, items: DataFrame, keys: list[str], cut: Callable[[str], Column]
-) -> DataFrame:
-    """As ``_verbatim``, for windows of templates of the tokens that ``cut`` gives.
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents that hold a benchmark item: one row per document and item.
+
+    Reads ``doc_id`` and ``text`` of the documents, ``item_id`` and ``text`` of the
+    benchmark. Gives ``doc_id``, ``text_hash``, ``item_id``, ``matched_words`` (words
+    of the item found), ``item_words``, and ``reparameterised`` (whether some of the
+    words were found by a template only).
+
+    A document holds an item if it has ``MIN_WORDS`` of its words, or ``MIN_SHARE`` of
+    them, in windows of ``WIDTH`` that match in one of three ways: equal but for case;
+    of equal templates, with at least ``LITERALS`` literal words; of equal templates in
+    which a number with its separators and a run of names are one placeholder each.
+    Windows at one distance between the place in the document and in the item are one
+    alignment. There a value of the item stands for the value that most of its places
+    have in the document, of equally frequent ones the smallest; placeholders with
+    another are left out, and only they. Two values that become one do not contradict
+    each other.
 
-    In each alignment the token that most often stands for a value of the item is
-    taken for its value; placeholders with another are not found.
+    NULL texts are empty. Items of fewer than ``WIDTH`` words can't be told from
+    chance within a text: such an item is held by documents that say nothing else, in
+    whatever case; one without words by none. Items with equal text are one, with the
+    smallest item_id; rows with the same doc_id and text are one document. Empty
+    tables give no rows. Document windows are joined, never grouped, before they have
+    matched, so a frequent passage is only as many rows as it has windows.
     """
-    ours = stored(
-        items.select("item_id", cut("item_text").alias("item"))
-        .withColumn("template", F.transform("item", template_word))
-        .withColumn("sizes", F.transform("item", lambda token: F.size(words_of(token))))
+    items = _items(benchmark)
+    tokens = stored(_item_tokens(items))
+    keyed = docs.select(
+        doc_key("doc_id").alias("_id"), text_hash("text").alias("text_hash"), "doc_id", "text"
     )
-    in_window = F.slice("template", F.col("item_pos") + 1, WIDTH)
-    windows = stored(
-        _exploded(ours, ["item_id", "template"], F.col("template"), "item_pos")
-        .where(F.size(F.filter(in_window, lambda word: ~_is_slot(word))) >= LITERALS)
-        .drop("template")
+    keys = ["_id", "text_hash"]
+    # A text is cut once for all ways, and its windows are joined once.
+    cut = keyed.select(*keys, words_of("text").alias("w"), tokens_of("text").alias("t"))
+    of_docs = cut.select(*keys, F.explode(_all_windows(F.col("w"), F.col("t"))).alias("at")).select(
+        *keys, "at.way", "at.window", "at.pos"
     )
-    in_docs = _exploded(keyed, keys, F.transform(cut("text"), template_word), "pos")
+    of_items = stored(_item_windows(items))
     spans = stored(
-        in_docs.join(_small(windows), "window")
-        .groupBy(*keys, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        of_docs.join(_small(of_items), ["way", "window"])
+        .groupBy(*keys, "item_key", "way", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(F.collect_set("item_pos").alias("starts"))
     )
     wanted = _small(stored(spans.select(*keys).distinct()))
-    of_docs = (
+    values = (
         keyed.join(wanted, keys, "left_semi")
         .dropDuplicates(keys)
-        .select(*keys, cut("text").alias("theirs"))
+        .select(*keys, "doc_id", words_of("text").alias("w"), tokens_of("text").alias("t"))
     )
     covered = F.array_distinct(
         F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (WIDTH - 1))))
     )
-    pairs = F.transform(
-        F.filter("covered", lambda at: _is_slot(F.col("template")[at])),
-        lambda at: F.struct(
-            at.alias("at"),
-            F.lower(F.col("item")[at]).alias("ours"),
-            F.lower(F.col("theirs")[at + F.col("shift")]).alias("theirs"),
-        ),
+    said = F.when(F.col("way") == BY_TOKENS, F.col("t")).otherwise(F.col("w"))
+    aligned = (
+        spans.withColumn("at", F.explode(covered))
+        .join(_small(tokens, F.length("ours")), ["way", "item_key", "at"])
+        .drop("starts")
     )
-
-    def times(pair: Column) -> Column:
-        same = F.filter(
-            "pairs", lambda p: (p["ours"] == pair["ours"]) & (p["theirs"] == pair["theirs"])
+    place = [*keys, "doc_id", "item_key", "way", "shift"]
+    compared = stored(
+        aligned.join(values, keys).select(
+            *place, "ours", F.lower(said[F.col("at") + F.col("shift")]).alias("theirs"),
+            "is_slot", "first_word", "n_words",
         )
-        return F.size(same)
-
-    def outvoted(pair: Column) -> Column:
-        def better(other: Column) -> Column:
-            more = times(other) > times(pair)
-            tie = (times(other) == times(pair)) & (other["theirs"] < pair["theirs"])
-            return (
-                (other["ours"] == pair["ours"])
-                & (other["theirs"] != pair["theirs"])
-                & (more | tie)
-            )
-
-        return F.exists("pairs", better)
-
-    before = F.transform(
-        "covered", lambda at: F.aggregate(F.slice("sizes", 1, at), F.lit(0), lambda a, b: a + b)
+    )
+    votes = compared.where("is_slot").groupBy(*place, "ours", "theirs").agg(
+        F.count("*").alias("n"), F.collect_list(F.struct("first_word", "n_words")).alias("places")
     )
-    places = F.transform(
-        F.arrays_zip("covered", "before"),
-        lambda at: F.sequence(at["before"], at["before"] + F.col("sizes")[at["covered"]] - 1),
+    by_vote = W.partitionBy(*place, "ours").orderBy(F.desc("n"), "theirs")
+    elected = (
+        votes.withColumn("place", F.row_number().over(by_vote))
+        .where("place = 1")
+        .select(*place, "ours", "theirs", F.explode("places").alias("one"))
+        .select(*place, (F.col("ours") == F.col("theirs")).alias("equal"), "one.first_word", "one.n_words")
     )
-    return (
-        spans.join(of_docs, keys)
-        .join(_small(ours), "item_id")
-        .withColumn("covered", covered)
-        .withColumn("pairs", pairs)
-        .withColumn(
-            "covered",
-            F.array_except("covered", F.transform(F.filter("pairs", outvoted), lambda p: p["at"])),
+    literal = compared.where("NOT is_slot").select(*place, F.lit(True).alias("equal"), "first_word", "n_words")
+    found = elected.unionAll(literal).withColumn(
+        "word", F.explode(F.expr("sequence(first_word, first_word + n_words - 1)"))
+    )
+    matched = (
+        found.groupBy(*keys, "doc_id", "item_key", "word")
+        .agg(F.max("equal").alias("equal"))
+        .groupBy(*keys, "doc_id", "item_key")
+        .agg(F.count("*").cast("int").alias("matched_words"), F.max(~F.col("equal")).alias("reparameterised"))
+        .join(_small(items.select("item_key", "item_id", "item_words")), "item_key")
+        .where(
+            (F.col("matched_words") >= MIN_WORDS)
+            | (F.col("matched_words") >= MIN_SHARE * F.col("item_words"))
         )
-        .withColumn("before", before)
-        .select(*keys, "item_id", F.flatten(places).alias("found"))
     )
+    columns = ["doc_id", "text_hash", "item_id", "matched_words", "item_words", "reparameterised"]
+    return matched.select(*columns).unionByName(_whole(keyed, items).select(*columns))
 
 
-def any_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold a benchmark item, in whatever case and with any edited values.
+def _all_windows(words: Column, tokens: Column) -> Column:
+    return F.concat(*(_windows(template, way) for way, template in enumerate(_templates(words, tokens))))
 
-    One row per document and item: ``_id`` (``doc_key``), ``text_hash``, ``item_id``,
-    ``matched_words``, ``item_words``. As ``contamination``, but words count that are
-    found in any of these ways: windows equal word by word but for case; windows of
-    word templates; windows of templates in which a number with its separators and a
-    run of names are one placeholder each. A placeholder that contradicts the others
-    of its alignment is left out, and only it; two values that become one do not
-    contradict each other.
-    """
-    items = stored(
-        benchmark.groupBy(F.coalesce("text", F.lit("")).alias("item_text")).agg(
-            F.min("item_id").alias("item_id")
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """``way``, ``window``, ``item_key`` and ``item_pos``; templates with enough literals."""
+    cut = items.select("item_key", words_of("item_text").alias("w"), tokens_of("item_text").alias("t"))
+    parts = []
+    for way, template in enumerate(_templates(F.col("w"), F.col("t"))):
+        rows = cut.select("item_key", template.alias("k")).select(
+            "item_key", "k", F.explode(_windows(F.col("k"), way)).alias("one")
         )
-    )
-    keyed = docs.select(doc_key("doc_id").alias("_id"), text_hash("text").alias("text_hash"), "text")
-    keys = ["_id", "text_hash"]
-    ways = [
-        _verbatim(keyed, items, keys),
-        _by_template(keyed, items, keys, words_of),
-        _by_template(keyed, items, keys, tokens_of),
-    ]
-    sizes = _small(stored(items.select("item_id", F.size(words_of("item_text")).alias("item_words"))))
-    matched = (
-        reduce(DataFrame.unionByName, ways)
-        .groupBy(*keys, "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched_words"))
-        .join(sizes, "item_id")
-    )
-    return matched.where(
-        (F.col("matched_words") >= MIN_WORDS)
-        | (F.col("matched_words") >= MIN_SHARE * F.col("item_words"))
-    )
+        if way != VERBATIM:
+            inside = F.slice("k", F.col("one.pos") + 1, WIDTH)
+            rows = rows.where(F.size(F.filter(inside, lambda word: ~_is_slot(word))) >= LITERALS)
+        parts.append(rows.select("one.way", "one.window", "item_key", F.col("one.pos").alias("item_pos")))
+    return reduce(DataFrame.unionAll, parts)
 
 
-def without_any_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any item by ``any_contamination``, with the columns given."""
-    found = any_contamination(docs, benchmark).select("_id", "text_hash")
-    return _without(docs, found)
+def _whole(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that are an item of fewer than ``WIDTH`` words, and say nothing else."""
+
+    def whole(text: str) -> Column:
+        return F.array_join(F.transform(words_of(text), lambda word: F.lower(word)), " ")
+
+    short = stored(
+        items.where(F.col("item_words").between(1, WIDTH - 1))
+        .select(whole("item_text").alias("whole"), "item_id", "item_words")
+        .groupBy("whole", "item_words")
+        .agg(F.min("item_id").alias("item_id"))
+    )
+    if short.isEmpty():
+        return keyed.limit(0).select(
+            "doc_id", "text_hash", F.lit(None).cast("long").alias("item_id"),
+            F.lit(0).alias("matched_words"), F.lit(0).alias("item_words"), F.lit(False).alias("reparameterised"),
+        )
+    found = keyed.dropDuplicates(["_id", "text_hash"]).withColumn("whole", whole("text"))
+    return found.join(_small(short, F.length("whole")), "whole").select(
+        "doc_id", "text_hash", "item_id", F.col("item_words").alias("matched_words"), "item_words",
+        F.lit(False).alias("reparameterised"),
+    )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -360,55 +302,82 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
-_SQL_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{M}\p{N}]+'),
-    lambda x: x <> '')"""
-_SQL_TEMPLATE = rf"""list_transform(words, lambda x: CASE
+def _sql_words(text: str) -> str:
+    return rf"""list_filter(regexp_split_to_array({text}, '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"""
+
+
+def _sql_template(words: str) -> str:
+    units = ", ".join(f"'{unit}'" for unit in UNITS)
+    return rf"""list_transform({words}, lambda x: CASE
     WHEN regexp_matches(x, '^\p{{N}}') THEN '{NUMBER}'
-    WHEN list_contains([{", ".join(f"'{unit}'" for unit in UNITS)}], lower(x)) THEN '{UNIT}'
+    WHEN list_contains([{units}], lower(x)) THEN '{UNIT}'
     WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '{NAME}' ELSE lower(x) END)"""
+
+
+def _sql_ways(key: str, rows: str) -> str:
+    """Tokens and templates of texts in the three ways."""
+    token = _TOKEN.replace("*+", "*").replace("++", "+").replace("'", "''")
+    return f"""
+  SELECT {key}, unnest([
+    {{'way': 0, 'tokens': words, 'template': list_transform(words, lambda x: lower(x))}},
+    {{'way': 1, 'tokens': words, 'template': {_sql_template("words")}}},
+    {{'way': 2, 'tokens': tokens, 'template': {_sql_template("tokens")}}}], recursive := true)
+  FROM (SELECT {key}, {_sql_words("text")} AS words,
+               regexp_extract_all(text, '{token}') AS tokens FROM {rows})"""
+
+
 OP5_SQL = f"""
 WITH items AS (
-  SELECT *, {_SQL_TEMPLATE} AS template FROM (
-    SELECT min(item_id) AS item_id, {_SQL_WORDS} AS words FROM benchmark GROUP BY text)
+  SELECT min(item_id) AS item_id, coalesce(text, '') AS text FROM benchmark GROUP BY 2
 ), docs AS (
-  SELECT *, {_SQL_TEMPLATE} AS template FROM (SELECT doc_id, {_SQL_WORDS} AS words FROM documents)
-), of_items AS (
-  SELECT item_id, item_pos, template[item_pos + 1 : item_pos + {WIDTH}] AS likeness,
-         list_transform(words[item_pos + 1 : item_pos + {WIDTH}], lambda x: lower(x)) AS plain
-  FROM (SELECT *, unnest(range(len(words) - {WIDTH - 1})) AS item_pos FROM items)
-), of_docs AS (
-  SELECT doc_id, pos, template[pos + 1 : pos + {WIDTH}] AS likeness,
-         list_transform(words[pos + 1 : pos + {WIDTH}], lambda x: lower(x)) AS plain
-  FROM (SELECT *, unnest(range(len(words) - {WIDTH - 1})) AS pos FROM docs)
-), typed AS (
-  SELECT *, len(list_filter(likeness, lambda x: NOT starts_with(x, '0'))) >= {LITERALS} AS literal
-  FROM of_items
-), met AS (
-  SELECT doc_id, item_id, pos - item_pos AS shift, item_pos
-  FROM of_docs d JOIN typed i ON d.likeness = i.likeness AND literal
-  UNION ALL
-  SELECT doc_id, item_id, pos - item_pos, item_pos
-  FROM of_docs d JOIN typed i ON d.plain = i.plain AND NOT literal
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), of_items AS ({_sql_ways("item_id", "items")}
+), of_docs AS ({_sql_ways("doc_id", "docs")}
+), item_windows AS (
+  SELECT * FROM (
+    SELECT way, item_id, item_pos, template[item_pos + 1 : item_pos + {WIDTH}] AS likeness
+    FROM (SELECT *, unnest(range(len(template) - {WIDTH - 1})) AS item_pos FROM of_items))
+  WHERE way = 0 OR len(list_filter(likeness, lambda x: NOT starts_with(x, '0'))) >= {LITERALS}
+), doc_windows AS (
+  SELECT way, doc_id, pos, template[pos + 1 : pos + {WIDTH}] AS likeness
+  FROM (SELECT *, unnest(range(len(template) - {WIDTH - 1})) AS pos FROM of_docs)
 ), covered AS (
-  SELECT DISTINCT doc_id, item_id, shift,
-         unnest(range(item_pos, item_pos + {WIDTH})) AS at_word
-  FROM met
-), slots AS (
-  SELECT doc_id, item_id, shift, lower(i.words[at_word + 1]) AS ours,
-         lower(d.words[at_word + shift + 1]) AS theirs
-  FROM covered JOIN items i USING (item_id) JOIN docs d USING (doc_id)
-  WHERE starts_with(i.template[at_word + 1], '0')
-), of_shift AS (
-  SELECT doc_id, item_id, shift, count(*) AS slots, bool_or(ours <> theirs) AS changed,
-         count(DISTINCT ours) = count(DISTINCT (ours, theirs))
-           AND count(DISTINCT theirs) = count(DISTINCT (ours, theirs)) AS consistent
-  FROM slots GROUP BY 1, 2, 3
+  SELECT DISTINCT doc_id, item_id, way, pos - item_pos AS shift,
+         unnest(range(item_pos, item_pos + {WIDTH})) AS spot
+  FROM doc_windows JOIN item_windows USING (way, likeness)
+), said AS (
+  SELECT c.*, lower(i.tokens[spot + 1]) AS ours, lower(d.tokens[spot + shift + 1]) AS theirs,
+         way <> 0 AND starts_with(i.template[spot + 1], '0') AS slot
+  FROM covered c JOIN of_items i USING (item_id, way) JOIN of_docs d USING (doc_id, way)
+), votes AS (
+  SELECT doc_id, item_id, way, shift, ours, theirs,
+         row_number() OVER (PARTITION BY doc_id, item_id, way, shift, ours
+                            ORDER BY count(*) DESC, theirs) AS place
+  FROM said WHERE slot GROUP BY doc_id, item_id, way, shift, ours, theirs
+), tokens AS (
+  SELECT item_id, way, spot, n, coalesce(sum(n) OVER (
+           PARTITION BY item_id, way ORDER BY spot
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
+  FROM (SELECT item_id, way, spot, len({_sql_words("tokens[spot + 1]")}) AS n
+        FROM (SELECT *, unnest(range(len(tokens))) AS spot FROM of_items))
+), words AS (
+  SELECT doc_id, item_id, first_word + unnest(range(n)) AS word, ours = theirs AS equal
+  FROM (SELECT said.* FROM said LEFT JOIN votes USING (doc_id, item_id, way, shift, ours, theirs)
+        WHERE NOT slot OR place = 1) JOIN tokens USING (item_id, way, spot)
+), matched AS (
+  SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS matched_words,
+         bool_or(NOT equal) AS reparameterised
+  FROM (SELECT doc_id, item_id, word, bool_or(equal) AS equal FROM words GROUP BY ALL)
+  GROUP BY doc_id, item_id
+), sizes AS (
+  SELECT item_id, CAST(len(tokens) AS INTEGER) AS item_words, array_to_string(template, ' ') AS whole
+  FROM of_items WHERE way = 0
 )
-SELECT doc_id, item_id, CAST(count(DISTINCT at_word) AS INTEGER) AS matched_words,
-       CAST(any_value(len(i.words)) AS INTEGER) AS item_words,
-       CAST(max(coalesce(slots, 0)) AS INTEGER) AS slots,
-       bool_or(coalesce(changed, false)) AS reparameterised
-FROM covered LEFT JOIN of_shift USING (doc_id, item_id, shift) JOIN items i USING (item_id)
-WHERE coalesce(consistent, true)
-GROUP BY doc_id, item_id
-HAVING matched_words >= {MIN_WORDS} OR matched_words >= {MIN_SHARE} * item_words"""
+SELECT doc_id, item_id, matched_words, item_words, reparameterised
+FROM matched JOIN sizes USING (item_id)
+WHERE matched_words >= {MIN_WORDS} OR matched_words >= {MIN_SHARE} * item_words
+UNION ALL
+SELECT doc_id, min(item_id), item_words, item_words, false
+FROM of_docs JOIN sizes ON array_to_string(template, ' ') = whole AND item_words < {WIDTH}
+WHERE way = 0 AND item_words > 0
+GROUP BY doc_id, item_words"""

@@ -27,13 +27,17 @@ TRAINING_TEXTS = 1_500
 SEED = 4
 #: Buckets of byte triples. The model has one number per bucket and language.
 BUCKETS = 1 << 15
+_PARTS = 1 << 30
 #: A triple tells less than its likelihood says, since triples overlap; and the
 #: words of a text are of one language together, so a text tells only so much.
 TEXT_WEIGHT = 0.3
 TEXT_LIMIT = 30.0
-#: Share of pages whose markup or address names the language they are written in.
+#: Share of pages whose markup or address names the language they are written in, before
+#: any is seen: it counts as ``SMOOTHING`` pages, beside those counted.
 DECLARED_RIGHT = 0.9
 SUFFIX_RIGHT = 0.7
+#: No declaration is taken to be right more often than this.
+MOST_RIGHT = 0.99
 #: Pages by which a host is drawn towards the level above.
 SMOOTHING = 20.0
 #: A document is rejected below this posterior, or if its letters are less likely in
@@ -109,7 +113,7 @@ def train_text_model(
 ) -> TextModel:
     """Learn from ``lang`` and ``text``; rows of other languages are left out.
 
-    The sample has about ``training_texts`` of each language. Of a language with no
+    The sample has about ``training_texts`` of each language, at most; copies count once. Of a language with no
     sample every triple is equally likely. What comes to the driver has ``BUCKETS``
     rows per language.
     """
@@ -120,7 +124,10 @@ def train_text_model(
     share = F.lit(0.0)
     for name, number in texts.items():
         share = F.when(F.col("lang") == name, min(1.0, training_texts / number)).otherwise(share)
-    sample = known.where(F.rand(SEED) < share)
+    # By their hash, so that the same texts are drawn however the rows are stored; of
+    # copies one, so that a text that is a third of all rows is not a third of these.
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "lang", "text"), F.lit(_PARTS)) / _PARTS
+    sample = known.where(drawn < share).dropDuplicates(["lang", "text"])
     rows = (
         sample.select("lang", "text")
         .mapInArrow(_counts(names), "language int, bucket int, n long")
@@ -169,6 +176,12 @@ def _first(values: Column, largest: Column, names: Sequence[str]) -> Column:
     return F.get(F.array(*map(F.lit, names)), F.array_position(values, largest).cast("int") - 1)
 
 
+def _right(hits: float | None, named: float | None, before: float) -> float:
+    """How often a declaration is right, as counted, drawn towards what is expected."""
+    found = ((hits or 0.0) + SMOOTHING * before) / ((named or 0.0) + SMOOTHING)
+    return min(max(found, 0.01), MOST_RIGHT)
+
+
 def _named(languages: Sequence[str], value: Column, right: float) -> Column:
     """Log likelihoods of a declaration; 0 each if it is none of the languages."""
     wrong = (1 - right) / max(1, len(languages) - 1)
@@ -182,14 +195,26 @@ def _named(languages: Sequence[str], value: Column, right: float) -> Column:
 
 
 def _counts_by_host(rows: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """How many rows of a host are written in each language, by their text alone."""
+    """How many rows of a host are written in each language, by their text alone.
+
+    Also how many of them name a language, and how many the one they are written in.
+    """
     sums = [
         F.sum((F.col("_by_text") == name).cast("double")).alias(f"_host_{name}")
         for name in languages
     ]
+    for kind, value in (("declared", F.col("_declared")), ("suffix", _of_suffix())):
+        sums.append(F.sum(value.isin(*languages).cast("double")).alias(f"_{kind}_named"))
+        sums.append(F.sum((value == F.col("_by_text")).cast("double")).alias(f"_{kind}_right"))
     return rows.where(F.col("_by_text").isNotNull()).groupBy("_host").agg(*sums)
 
 
+def _of_suffix() -> Column:
+    """The language that the address suffix stands for; NULL if it is of none."""
+    by_suffix = F.create_map(*(F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair))
+    return by_suffix[F.col("_suffix")]
+
+
 def host_priors(hosts: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """``_host`` and ``_prior``, the smoothed share of each language there.
 
@@ -242,7 +267,9 @@ def identify(
     ``text`` names the column of texts (or of markup, with ``to_text`` to turn it
     into text); ``declared``, ``host`` and ``suffix`` are the other evidence. One
     that is NULL, or names none of the model's languages, tells nothing. Of equally
-    likely languages the first of the model's counts.
+    likely languages the first of the model's counts. How far a declaration or a suffix
+    is believed is counted too: how often it is the language of the text, among the rows
+    whose text tells one.
 
     A row is rejected, with ``accepted`` false, if its text has no letters (NULL and
     empty texts too), if no language explains it better than chance, or if the best
@@ -279,14 +306,18 @@ def identify(
     priors = stored(host_priors(hosts, names))
     rated = attach(read, priors, "_host", F.xxhash64("_of_text", "_declared"))
     even = F.array(*[F.lit(1.0 / len(names))] * len(names))
-    by_suffix = F.create_map(*(F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair))
+    said = hosts.agg(
+        *(F.sum(f"_{kind}_{what}") for kind in ("declared", "suffix") for what in ("right", "named"))
+    ).first()
+    declared_right = _right(said[0], said[1], DECLARED_RIGHT)
+    suffix_right = _right(said[2], said[3], SUFFIX_RIGHT)
     logs = F.zip_with(
         F.zip_with(
             F.zip_with("_of_text", F.coalesce("_prior", even), lambda a, b: a + F.log(b)),
-            _named(names, F.col("_declared"), DECLARED_RIGHT),
+            _named(names, F.col("_declared"), declared_right),
             lambda a, b: a + b,
         ),
-        _named(names, by_suffix[F.col("_suffix")], SUFFIX_RIGHT),
+        _named(names, _of_suffix(), suffix_right),
         lambda a, b: a + b,
     )
     weights = rated.withColumn("_logs", logs)

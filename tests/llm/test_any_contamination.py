@@ -1,9 +1,9 @@
-"""What the decontamination stage of the pipeline finds besides the op5 query."""
+"""Edited copies of items: case, numbers, names, and values that contradict each other."""
 
 import random
 
 import corpus_pipeline
-from tallyloom.llm.decontamination import any_contamination, without_any_benchmark
+from tallyloom.llm.decontamination import contamination, without_benchmark
 from test_decontamination import ITEM, filler
 
 TRAIN = ITEM.replace("Paris", "Rome").replace("Lyon", "Pisa").replace("9", "7").replace("120", "300")
@@ -13,7 +13,7 @@ SHOP = "the shop of Anna sells 980 apples at 3 dollars and later 4 pears, so how
 def found(spark, texts, items):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    return {(row._id, row.item_id) for row in any_contamination(docs, bench).collect()}
+    return {(row.doc_id, row.item_id) for row in contamination(docs, bench).collect()}
 
 
 def test_case_and_numbers_and_names_of_several_words(spark):
@@ -44,10 +44,28 @@ def test_one_edited_value_does_not_hide_the_rest(spark):
     assert found(spark, texts, [(1, item), (2, ITEM), (3, SHOP)]) == {(1, 1), (2, 1), (3, 2), (4, 3)}
     docs = spark.createDataFrame([(*row, "x") for row in texts], "doc_id long, text string, _id string")
     bench = spark.createDataFrame([(1, item), (2, ITEM), (3, SHOP)], "item_id long, text string")
-    kept = without_any_benchmark(docs, bench)
+    kept = without_benchmark(docs, bench)
     assert kept.columns == docs.columns and [row.doc_id for row in kept.collect()] == [5]
 
 
+def test_short_items_are_found_as_whole_documents(spark):
+    texts = [(1, "Short  ITEM!"), (2, "a short item here"), (3, ""), (4, None), (5, "0 apples"), (5, "0 apples"), (5, "Other")]
+    items = [(7, "short item"), (8, "Short, item"), (9, ""), (10, None), (11, "0 apples")]
+    assert found(spark, texts, items) == {(1, 7), (5, 11)}
+
+
+def test_extra_columns_and_nulls(spark):
+    docs = spark.createDataFrame(
+        [(None, ITEM, 1, "a"), (None, ITEM, 2, "b"), (4, None, 3, "c")],
+        "doc_id long, text string, item_id int, way string",
+    )
+    bench = spark.createDataFrame([(None, ITEM, 1), (3, None, 2)], "item_id long, text string, doc_id int")
+    rows = contamination(docs, bench).collect()
+    assert [(row.doc_id, row.item_id, row.matched_words == row.item_words, row.reparameterised) for row in rows] == [(None, None, True, False)]
+    kept = without_benchmark(docs, bench)
+    assert kept.columns == docs.columns and [row.doc_id for row in kept.collect()] == [4]
+
+
 def test_the_stage_uses_it(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, ITEM.upper()), (2, "fine")], "doc_id long, text string")
