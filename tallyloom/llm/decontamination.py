@@ -74,27 +74,25 @@ def _is_slot(word: Column) -> Column:
     return word.startswith("0")
 
 
-#: Ways to compare: words in lower case; their templates; templates of tokens, where a
-#: number with its separators and a run of names are one.
-VERBATIM, BY_WORDS, BY_TOKENS = range(3)
+#: Ways to compare: words in lower case, and templates of tokens.
+VERBATIM, BY_TOKENS = range(2)
 
 
 def _templates(words: Column, tokens: Column) -> list[Column]:
     """What is compared in each way."""
     lowered = F.transform(words, lambda word: F.lower(word))
-    return [lowered, F.transform(words, template_word), F.transform(tokens, template_word)]
+    return [lowered, F.transform(tokens, template_word)]
 
 
 def _windows(template: Column, way: int) -> Column:
-    """All windows of ``WIDTH`` as structs: the way, the hash, the position."""
+    """All windows of ``WIDTH`` as structs: a hash, which is of the way too, and the place."""
 
     def joined(hashes: Column) -> Column:
         number = F.greatest(F.size(hashes) - (WIDTH - 1), F.lit(0))
         return F.transform(
             F.slice(F.sequence(F.lit(0), F.size(hashes)), F.lit(1), number),
             lambda at: F.struct(
-                F.lit(way).alias("way"),
-                F.xxhash64(*(hashes[at + k] for k in range(WIDTH))).alias("window"),
+                F.xxhash64(F.lit(way), *(hashes[at + k] for k in range(WIDTH))).alias("window"),
                 at.alias("pos"),
             ),
         )
@@ -128,7 +126,7 @@ def _item_tokens(items: DataFrame) -> DataFrame:
     cut = items.select("item_key", words_of("item_text").alias("w"), tokens_of("item_text").alias("t"))
     templates = _templates(F.col("w"), F.col("t"))
     parts = []
-    for way, (value, template) in enumerate(zip(("w", "w", "t"), templates)):
+    for way, (value, template) in enumerate(zip(("w", "t"), templates)):
         zipped = cut.select("item_key", F.posexplode(F.arrays_zip(F.col(value).alias("v"), template.alias("k"))))
         parts.append(
             zipped.select(
@@ -155,9 +153,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words were found by a template only).
 
     A document holds an item if it has ``MIN_WORDS`` of its words, or ``MIN_SHARE`` of
-    them, in windows of ``WIDTH`` that match in one of three ways: equal but for case;
-    of equal templates, with at least ``LITERALS`` literal words; of equal templates in
-    which a number with its separators and a run of names are one placeholder each.
+    them, in windows of ``WIDTH`` that match in one of two ways: of words equal but for
+    case; of tokens of equal templates, with at least ``LITERALS`` literal words, where
+    a number with its separators and a run of names are one placeholder each.
     Windows at one distance between the place in the document and in the item are one
     alignment. There a value of the item stands for the value that most of its places
     have in the document, of equally frequent ones the smallest; placeholders with
@@ -180,11 +178,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # A text is cut once for all ways, and its windows are joined once.
     cut = keyed.select(*keys, words_of("text").alias("w"), tokens_of("text").alias("t"))
     of_docs = cut.select(*keys, F.explode(_all_windows(F.col("w"), F.col("t"))).alias("at")).select(
-        *keys, "at.way", "at.window", "at.pos"
+        *keys, "at.window", "at.pos"
     )
     of_items = stored(_item_windows(items))
     spans = stored(
-        of_docs.join(_small(of_items), ["way", "window"])
+        of_docs.join(_small(of_items), "window")
         .groupBy(*keys, "item_key", "way", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(F.collect_set("item_pos").alias("starts"))
     )
@@ -254,7 +252,11 @@ def _item_windows(items: DataFrame) -> DataFrame:
         if way != VERBATIM:
             inside = F.slice("k", F.col("one.pos") + 1, WIDTH)
             rows = rows.where(F.size(F.filter(inside, lambda word: ~_is_slot(word))) >= LITERALS)
-        parts.append(rows.select("one.way", "one.window", "item_key", F.col("one.pos").alias("item_pos")))
+        parts.append(
+            rows.select(
+                F.lit(way).alias("way"), "one.window", "item_key", F.col("one.pos").alias("item_pos")
+            )
+        )
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -315,13 +317,12 @@ def _sql_template(words: str) -> str:
 
 
 def _sql_ways(key: str, rows: str) -> str:
-    """Tokens and templates of texts in the three ways."""
+    """Tokens and templates of texts in both ways."""
     token = _TOKEN.replace("*+", "*").replace("++", "+").replace("'", "''")
     return f"""
   SELECT {key}, unnest([
     {{'way': 0, 'tokens': words, 'template': list_transform(words, lambda x: lower(x))}},
-    {{'way': 1, 'tokens': words, 'template': {_sql_template("words")}}},
-    {{'way': 2, 'tokens': tokens, 'template': {_sql_template("tokens")}}}], recursive := true)
+    {{'way': 1, 'tokens': tokens, 'template': {_sql_template("tokens")}}}], recursive := true)
   FROM (SELECT {key}, {_sql_words("text")} AS words,
                regexp_extract_all(text, '{token}') AS tokens FROM {rows})"""
 
