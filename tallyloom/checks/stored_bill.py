@@ -153,7 +153,7 @@ def sketched_years(spark: SparkSession, sf_dir: str) -> DataFrame:
         for n in range(len(asked))
     ]
     exact = (
-        lines.join(F.broadcast(found.select("year", "quantile_estimates")), "year")  # a row a year
+        lines.join(found.select("year", "quantile_estimates"), "year")
         .groupBy("year")
         .agg(F.count_distinct(LINE_ID).alias("distinct_lines"), *below)
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bills import bill, rows
+from bills import BILL, bill, rows
 from conftest import SF_DIR
 from tallyloom.checks.order_bill import order_bill
 from tallyloom.operators.periods import missing_periods, partition_values
