@@ -6,7 +6,8 @@ load goes through three steps, and each leaves a sign in the bill's folder:
 1. staging: the delivered lines are written beside the bill, by month, and read
    once to count them (``_staged/<load>``: lines and exact cost of each month);
 2. publishing: the staged months take the place of the stored ones by a dynamic
-   partition overwrite, which touches no other month;
+   partition overwrite, which touches no other month; staged files hold one month
+   each, so their lines are written again as they lie, without a shuffle;
 3. the months are read back and compared with what was staged, and the load is
    entered as finished (``_finished/<load>``).
 
@@ -19,6 +20,8 @@ that begin with ``_`` are not seen by readers of the bill.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,9 @@ _CONTROL = (
     f"load_id string, {PARTITION_COLUMN} string, raw_line_items long, cost {TOTAL_AMOUNT}, "
     "staged_at timestamp"
 )
+#: Months of which a task holds a file open; lines of more are sorted by month first.
+OPEN_MONTHS = 32
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 _COST = "line_item_unblended_cost"
 _SAME = ["raw_line_items", "cost"]
 
@@ -90,12 +96,30 @@ def _check_months(lines: DataFrame) -> None:
         raise ValueError(f"billing month of a line must look like 2026-06, got {first[0]!r}")
 
 
+@contextmanager
+def _files_open(spark: SparkSession) -> Iterator[None]:
+    """Lets a task write several months side by side, unless the session says how many."""
+    before = spark.conf.get(_OPEN_FILES, None)
+    if int(before or 0) > 0:
+        yield
+        return
+    spark.conf.set(_OPEN_FILES, str(OPEN_MONTHS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_OPEN_FILES) if before is None else spark.conf.set(_OPEN_FILES, before)
+
+
 def _write_months(lines: DataFrame, path: str, dynamic: bool) -> None:
-    """One directory per month; a large month is cut into files of the advised size."""
-    spread = lines.withColumnRenamed(PARTITION_COLUMN, MONTH_FOLDER).hint("rebalance", MONTH_FOLDER)
+    """One directory per month, and there a file for each task that has lines of it.
+
+    Nothing is shuffled, and nothing sorted while a task has few months.
+    """
+    months = lines.withColumnRenamed(PARTITION_COLUMN, MONTH_FOLDER)
     mode = "dynamic" if dynamic else "static"
-    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", mode)
-    writer.partitionBy(MONTH_FOLDER).parquet(path)
+    writer = months.write.mode("overwrite").option("partitionOverwriteMode", mode)
+    with _files_open(lines.sparkSession):
+        writer.partitionBy(MONTH_FOLDER).parquet(path)
 
 
 def stage_load(
@@ -104,12 +128,17 @@ def stage_load(
     """Step 1: writes the delivered lines beside the bill; a second try starts anew.
 
     The lines are brought to the declared schema first (``conform``). A month that is
-    NULL or of another form raises ``ValueError``, and nothing is staged.
+    NULL or of another form raises ``ValueError``, and nothing is staged. Lines of a
+    month are brought together by the one shuffle of a load, and a large month is cut
+    into files of the advised size; columns that were not delivered are added after it.
     """
     load = _Load(path, load_id)
-    lines = conform(bill, schema)
+    names = {name.lower() for name in (*bill.columns, PARTITION_COLUMN)}
+    delivered = T.StructType([field for field in schema if field.name.lower() in names])
+    lines = conform(bill, delivered)
     _check_months(lines)
-    _write_months(lines, load.at("staging"), dynamic=False)
+    by_month = lines.hint("rebalance", PARTITION_COLUMN)
+    _write_months(conform(by_month, schema), load.at("staging"), dynamic=False)
     staged = read_bill(spark, load.at("staging"), schema)
     signs = _controls(staged).select(
         F.lit(load_id).alias("load_id"), PARTITION_COLUMN, *_SAME, F.current_timestamp().alias("staged_at")

@@ -4,6 +4,7 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from bills import BILL, bill
 from tallyloom.sources import refresh
@@ -111,3 +112,47 @@ def test_odd_deliveries(spark, stored):
     drifted = spark.createDataFrame([(JUNE, "7.5")], "billing_period string, line_item_unblended_cost string")
     assert refresh_months(spark, drifted, stored, "drifted", BILL)
     assert costs(spark, stored)[2:] == [(JUNE, 7.5)]
+
+
+def test_a_load_shuffles_once_and_only_what_was_delivered(spark, tmp_path, monkeypatch):
+    written = []
+    write = DataFrameWriter.parquet
+
+    def noted(writer, path, *args, **options):
+        plan = writer._df._jdf.queryExecution().optimizedPlan().toString()
+        written.append((path, plan, spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return write(writer, path, *args, **options)
+
+    drop = ["reservation_effective_cost", "line_item_usage_start_date", "tags"]
+    some = ({"period": month, "cost": cost} for month, cost in ((MAY, 1.0), (MAY, 2.0), (JUNE, 3.0)))
+    delivered = bill(spark, *some).drop(*drop)
+    path = str(tmp_path / "bill")
+    with monkeypatch.context() as watched:
+        watched.setattr(DataFrameWriter, "parquet", noted)
+        assert refresh_months(spark, delivered, path, "1", BILL)
+    # The staging folder is written again, empty, when the load is finished.
+    plans = {name: (plan, files) for name, plan, files in reversed(written)}
+    staging, files = plans[f"{path}/_staging/load=1"]
+    published, files_published = plans[path]
+    assert "RebalancePartitions" in staging and "RebalancePartitions" not in published
+    shuffled = staging[staging.index("RebalancePartitions") :].splitlines()[1]
+    assert "resource_id" in shuffled and not any(f" {name}#" in shuffled for name in drop)
+    # Lines are not sorted to be written, and the session is as it was.
+    assert files == files_published == str(refresh.OPEN_MONTHS)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    stored = read_bill(spark, path, BILL)
+    assert costs(spark, path) == [(MAY, 1.0), (MAY, 2.0), (JUNE, 3.0)]
+    assert all(stored.where(f"{name} IS NOT NULL").isEmpty() for name in drop)
+
+
+def test_more_months_than_files_open_and_a_session_that_says_how_many(spark, tmp_path, monkeypatch, conf):
+    monkeypatch.setattr(refresh, "OPEN_MONTHS", 2)
+    months = [f"20{year}-{month:02}" for year in (24, 25) for month in range(1, 13)]
+    delivered = bill(spark, *({"period": month, "cost": float(n)} for n in range(3) for month in months))
+    expected = sorted((month, float(n)) for n in range(3) for month in months)
+    assert refresh_months(spark, delivered.coalesce(1), str(tmp_path / "sorted"), "1", BILL)
+    assert costs(spark, str(tmp_path / "sorted")) == expected
+    conf("spark.sql.maxConcurrentOutputFileWriters", "5")
+    assert refresh_months(spark, delivered, str(tmp_path / "asked"), "1", BILL)
+    assert costs(spark, str(tmp_path / "asked")) == expected
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "5"
