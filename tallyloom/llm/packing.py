@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,13 @@ END_ID = 2
 #: Expected tokens per group: about a thousand sequences.
 GROUP_TOKENS = 4_000_000
 #: Characters of text tokenised at once; longer texts are taken in parts.
-PART_CHARS = 2_000_000
-#: Words a worker remembers, some 200 bytes each; when full, only those met since
-#: the last time stay.
+PART_CHARS = 1_000_000
+#: Words a worker remembers, some 200 bytes each; when full, only those stay that were
+#: met again, in another part, since the last time.
 REMEMBERED_WORDS = 300_000
+#: Rows that a worker is given at a time; their texts lie in the JVM and in the worker.
+BATCH_ROWS = 2_000
+_BATCH_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a batch whose texts are Python strings at one time.
 _ROWS = 256
 
@@ -90,9 +94,14 @@ class WordIds:
             self.ids = np.zeros(0, np.uint32)
         else:
             kept[0] = True
-            self.known = {
-                word: at for at, word in enumerate(compress(self.known, kept.tolist()))
-            }
+            # In place: two such tables at a time are too much for a worker.
+            at = 0
+            for word, stays in zip([*self.known], kept.tolist()):
+                if stays:
+                    self.known[word] = at
+                    at += 1
+                else:
+                    del self.known[word]
             counts = np.diff(self.begins)
             self.ids = self.ids[np.repeat(kept, counts)]
             self.begins = np.concatenate([[0], np.cumsum(counts[kept])])
@@ -122,13 +131,13 @@ class WordIds:
         """Where each of the different words is remembered."""
         names = words.to_pylist()
         if len(self.known) + len(names) > REMEMBERED_WORDS:
-            # Words met since the last time stay, unless they are too many.
+            # Words met again since the last time stay, unless they are too many.
             self._forget(self.met & (2 * self.met.sum() < REMEMBERED_WORDS))
         is_new = [name not in self.known for name in names]
         if any(is_new):
             self._learn(words.filter(pa.array(is_new)))
         at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        self.met[at] = True
+        self.met[at[~np.array(is_new, bool)]] = True
         return at
 
     def _units(self, words: pa.Array) -> np.ndarray:
@@ -303,6 +312,20 @@ def _packer(max_tokens: int) -> Callable[[pa.Table], pa.Table]:
     return pack_group
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Workers get ``BATCH_ROWS`` rows at a time, unless the session gives them fewer."""
+    before = spark.conf.get(_BATCH_OPTION, None)
+    if 0 < int(before or 0) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(_BATCH_OPTION, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_OPTION) if before is None else spark.conf.set(_BATCH_OPTION, before)
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -327,11 +350,11 @@ def pack(
     follows from the tokens counted, and a lost executor cannot deal them anew.
     """
     ids = ", ids array<int>" if with_ids else ""
-    pieces = stored(
-        docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-            _cutter(tokenizer_path, max_tokens, end_id, with_ids), _PIECE + ids
-        )
+    cut = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
+        _cutter(tokenizer_path, max_tokens, end_id, with_ids), _PIECE + ids
     )
+    with _small_batches(docs.sparkSession):
+        pieces = stored(cut)
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // group_tokens))
     dealt = pieces.withColumn("group_id", F.floor(F.rand(seed) * groups))

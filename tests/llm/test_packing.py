@@ -99,3 +99,42 @@ def test_words_with_letters_apart_from_marks():
     texts = [" ".join("".join(draw.choices(units, k=draw.randint(1, 5))) for _ in range(60)) for _ in range(80)]
     found = [ids.tolist() for ids in packing.token_ids(texts, encode)]
     assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_words_met_again_stay_when_others_are_forgotten(monkeypatch):
+    import tallyloom.llm.packing as packing
+
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 100)
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = packing.WordIds(PATH)
+    common = [f"common{letter}" for letter in "abcdefghij"]
+    draw = random.Random(8)
+    for number in range(40):
+        rare = ["".join(draw.choices("abcdefghijklmnop", k=9)) for _ in range(25)]
+        text = " ".join([*common, *rare, "don't", f"x{number}!"])
+        found = next(packing.token_ids([text], encode)).tolist()
+        assert found == tokenizer.encode(text, add_special_tokens=False).ids
+        assert [*encode.known.values()] == [*range(len(encode.known))]
+        assert len(encode.known) <= 100 and len(encode.begins) == len(encode.known) + 1
+        # Rare words are met once and make room; common ones were learned at the start.
+        assert [*encode.known][1:11] == common or number == 0
+
+
+def test_workers_get_few_rows_at_a_time(spark, monkeypatch, conf):
+    import tallyloom.llm.packing as packing
+
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, given = spark.conf.get(option), []
+
+    def noted(frame, keep=packing.stored):
+        given.append(int(spark.conf.get(option)))
+        return keep(frame)
+
+    monkeypatch.setattr(packing, "stored", noted)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'a b' AS text")
+    assert pack(docs, PATH).count() == 5000 and spark.conf.get(option) == before
+    conf(option, "7")
+    assert pack(docs.limit(20), PATH).count() == 20 and spark.conf.get(option) == "7"
+    conf(option, "0")
+    pack(docs.limit(20), PATH)
+    assert given == [packing.BATCH_ROWS, 7, packing.BATCH_ROWS]
