@@ -14,8 +14,7 @@ occur in it, so no task holds the model.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,17 +28,19 @@ from tallyloom.llm.common import doc_key, read_table, stored, text_hash
 ORDER = 5
 #: Expected characters of text in a block.
 BLOCK_CHARS = 16_000_000
-#: Bytes whose sequences are counted at once.
+#: Bytes whose sequences and words are counted at once.
 _AT_ONCE = 4_000_000
+#: Bytes that a text counts for besides its own: those put between texts.
+_BETWEEN = 8
 _END = b"\n"
 
 
 # --- within a block -----------------------------------------------------------
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII blanks, with A-Z in lower case."""
-    return text.lower().split()
+def _body(text: bytes) -> bytes:
+    """Words between ASCII blanks, A-Z in lower case, one blank between them, and an end."""
+    return b" ".join(text.lower().split()) + _END
 
 
 def _grams(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,26 +49,43 @@ def _grams(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     A text begins as if after an end of text, so it does not matter what it follows.
     """
     pad = _END * order
-    stream = np.frombuffer(b"".join(pad + body for body in bodies), np.uint8)
+    stream = np.frombuffer(_END * (7 - order) + pad + pad.join(bodies), np.uint8)
+    pairs = stream[:-1].astype(np.uint16) << 8 | stream[1:]
+    fours = pairs[:-2].astype(np.uint32) << 16 | pairs[2:]
+    eights = fours[:-4].astype(np.int64) << 32 | fours[4:]
     lengths = np.array([len(body) for body in bodies], np.int64)
     begins = np.cumsum(lengths) - lengths
-    inside = np.arange(lengths.sum()) + order * np.repeat(np.arange(1, len(bodies) + 1), lengths)
-    grams = np.zeros(len(inside), np.int64)
-    for back in range(order, -1, -1):
-        grams = (grams << 8) | stream[inside - back]
-    return grams, begins
-
-
-def _body(words: list[bytes]) -> bytes:
-    return b" ".join(words) + _END
-
-
-def _batches(bodies: Iterator[bytes]) -> Iterator[list[bytes]]:
+    inside = np.ones(len(eights), bool)
+    pads = begins[1:, None] + order * np.arange(len(bodies) - 1)[:, None] + np.arange(order)
+    inside[pads] = False
+    return eights[inside] & ((1 << (8 * (order + 1))) - 1), begins
+
+
+def _tokens(bodies: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Every word and end as its place among the different ones; these; where each body begins."""
+    stream = np.frombuffer(b"".join(bodies), np.uint8)
+    blank, end = stream == ord(" "), stream == ord(_END)
+    first = end.copy()
+    first[0] = True
+    first[1:] |= blank[:-1] | end[:-1]
+    begins = np.flatnonzero(first[~blank])
+    places = np.append(begins, len(stream) - np.count_nonzero(blank))
+    buffers = [None, pa.py_buffer(places), pa.py_buffer(stream[~blank])]
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(begins), buffers).dictionary_encode()
+    _, places, texts = tokens.dictionary.buffers()
+    places = np.frombuffer(places, np.int64, len(tokens.dictionary) + 1).tolist()
+    texts = texts.to_pybytes()
+    different = [texts[begin:stop] for begin, stop in zip(places, places[1:])]
+    after = np.flatnonzero(end[first]) + 1
+    return tokens.indices.to_numpy(), different, np.append(0, after[:-1])
+
+
+def _batches(bodies: Iterable[bytes]) -> Iterator[list[bytes]]:
     some: list[bytes] = []
     size = 0
     for body in bodies:
         some.append(body)
-        size += len(body)
+        size += len(body) + _BETWEEN
         if size >= _AT_ONCE:
             yield some
             some, size = [], 0
@@ -124,35 +142,31 @@ class _Extract:
     def __call__(self, docs: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
         bodies: dict[bool, list[bytes]] = {False: [], True: []}
-        words: dict[bool, Counter] = {False: Counter(), True: Counter()}
         for held_out, text in zip(docs.column("held_out").to_pylist(), docs.column("body")):
-            found = words_of(text.as_py())
-            words[held_out].update(found)
-            words[held_out][_END] += 1
-            bodies[held_out].append(_body(found))
-        grams = self._counted(bodies)
-        listed = [*words[False], *words[True]]
-        seen = np.array([*words[False].values(), *([0] * len(words[True]))], np.int64)
-        of_words = _summed(_word_hashes(listed), seen)
-        rows = []
-        in_shard = [_shard_of(keys, self.shards) for keys, _ in (grams, of_words)]
-        for shard in range(self.shards):
-            row = [shard, block]
-            for (keys, counts), shards in zip((grams, of_words), in_shard):
-                row += [_keys_blob(keys[shards == shard]), _squeezed(counts[shards == shard])]
-            rows.append(row)
+            bodies[held_out].append(_body(text.as_py()))
+        columns = [range(self.shards), [block] * self.shards]
+        for keys, counts in self._counted(bodies):
+            shards = _shard_of(keys, self.shards)
+            order = np.argsort(shards, kind="stable")
+            begins = np.searchsorted(shards[order], np.arange(1, self.shards))
+            columns.append(map(_keys_blob, np.split(keys[order], begins)))
+            columns.append(map(_squeezed, np.split(counts[order], begins)))
         return pa.Table.from_arrays(
-            [pa.array(column, kind) for column, kind in zip(zip(*rows), _KEY_TYPES)], _KEY_NAMES
+            [pa.array(column, kind) for column, kind in zip(columns, _KEY_TYPES)], _KEY_NAMES
         )
 
-    def _counted(self, bodies: dict[bool, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def _counted(self, bodies: dict[bool, list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Byte sequences and hashes of words, each with their counts in training."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams, of_words = [nothing], [nothing]
         for held_out, own in bodies.items():
-            for some in _batches(iter(own)):
+            for some in _batches(own):
                 found, times = np.unique(_grams(some, self.order)[0], return_counts=True)
-                keys.append(found)
-                counts.append(np.zeros_like(times) if held_out else times)
-        return _summed(np.concatenate(keys), np.concatenate(counts))
+                grams.append((found, np.zeros_like(times) if held_out else times))
+                at, words, _ = _tokens(some)
+                times = np.bincount(at)
+                of_words.append((_word_hashes(words), np.zeros_like(times) if held_out else times))
+        return [_summed(*map(np.concatenate, zip(*found))) for found in (grams, of_words)]
 
 
 _KEY_NAMES = ["shard", "block", "grams", "gram_counts", "words", "word_counts"]
@@ -259,54 +273,40 @@ class _Score:
     train_words: int
 
     def __call__(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = [text.as_py() for text in docs.column("body")]
-        scores = self._scores(texts, answers)
-        base, known, tokens = self._base(texts, answers)
-        return pa.Table.from_arrays(
-            [
-                docs.column("doc_id").combine_chunks(),
-                docs.column("held_out").combine_chunks(),
-                pa.array(tokens, pa.int64()),
-                pa.array(known, pa.int64()),
-                pa.array(np.full(len(texts), self.train_tokens, np.int64)),
-                pa.array(base, pa.float64()),
-                pa.array(scores, pa.float64()),
-            ],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    def _scores(self, texts: list[bytes], answers: pa.Table) -> np.ndarray:
         cost_of = _Lookup(
             np.concatenate([_keys(blob) for blob in answers.column("grams").to_pylist()]),
             np.concatenate(
                 [np.frombuffer(blob, np.float32) for blob in answers.column("costs").to_pylist()]
             ),
         )
-        found = [np.zeros(0)]
-        for some in _batches(_body(words_of(text)) for text in texts):
-            grams, begins = _grams(some, self.order)
-            found.append(np.add.reduceat(cost_of(grams).astype(np.float64), begins))
-        return np.concatenate(found)
-
-    def _base(self, texts: list[bytes], answers: pa.Table) -> tuple[list, list, list]:
         hashes = np.concatenate([_keys(blob) for blob in answers.column("words").to_pylist()])
         times = np.concatenate([_restored(blob) for blob in answers.column("counts").to_pylist()])
         order = np.argsort(hashes)
         hashes, times = hashes[order], times[order]
         whole = self.train_tokens + 0.5 * (self.train_words + 1)
         logs = np.log10((times + 0.5) / whole)
-        listed = [_END, *set().union(*map(words_of, texts))]
-        at = np.searchsorted(hashes, _word_hashes(listed))
-        cost = dict(zip(listed, logs[at].tolist()))
-        seen = dict(zip(listed, (times[at] > 0).tolist()))
-        base, known, tokens = [], [], []
-        for text in texts:
-            words = words_of(text)
-            words.append(_END)
-            base.append(sum(map(cost.__getitem__, words)))
-            known.append(sum(map(seen.__getitem__, words)))
-            tokens.append(len(words))
-        return base, known, tokens
+        found = [[np.zeros(0, kind) for kind in (np.int64, np.int64, np.float64, np.float64)]]
+        for some in _batches(_body(text.as_py()) for text in docs.column("body")):
+            grams, begins = _grams(some, self.order)
+            score = np.add.reduceat(cost_of(grams).astype(np.float64), begins)
+            at, words, begins = _tokens(some)
+            of_words = np.searchsorted(hashes, _word_hashes(words))
+            base = np.add.reduceat(logs[of_words][at], begins)
+            known = np.add.reduceat((times[of_words] > 0).astype(np.int64)[at], begins)
+            found.append([np.diff(begins, append=len(at)), known, base, score])
+        tokens, known, base, score = map(np.concatenate, zip(*found))
+        return pa.Table.from_arrays(
+            [
+                docs.column("doc_id").combine_chunks(),
+                docs.column("held_out").combine_chunks(),
+                pa.array(tokens),
+                pa.array(known),
+                pa.array(np.full(len(score), self.train_tokens, np.int64)),
+                pa.array(base),
+                pa.array(score),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
 
 _SCORE_SCHEMA = (
